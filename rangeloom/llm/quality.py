@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,40 +44,40 @@ RULES = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _repeat_words(words: Column) -> Column:
     """Words covered by 5-word windows that occur twice or more in the text."""
     n = F.size(words)
+    none = F.lit(0).cast("long")
+    windows = F.transform(
+        F.sequence(F.lit(1), n - 4),
+        lambda i: F.struct(F.array_join(F.slice(words, i, 5), " ").alias("t"), i.alias("i")),
+    )
 
-    def covered(w: Column) -> Column:
-        # windows in order of content then place; those with an equal neighbour, back in order of place
-        placed = F.array_sort(
+    def places(sorted_windows: Column) -> Column:
+        # windows in order of content; the places of those with an equal neighbour
+        return F.array_compact(
             F.transform(
-                F.sequence(F.lit(1), F.size(w) - 4),
-                lambda i: F.struct(F.array_join(F.slice(w, i, 5), " ").alias("t"), i.alias("i")),
-            )
-        )
-        several = F.filter(
-            F.transform(
-                placed,
+                sorted_windows,
                 lambda x, k: F.when(
-                    (F.get(placed, k - 1)["t"] == x["t"]) | (F.get(placed, k + 1)["t"] == x["t"]), x["i"]
+                    (F.get(sorted_windows, k - 1)["t"] == x["t"]) | (F.get(sorted_windows, k + 1)["t"] == x["t"]),
+                    x["i"],
                 ),
-            ),
-            lambda x: x.isNotNull(),
-        )
-        at = F.array_sort(several)
-        return F.coalesce(
-            F.aggregate(
-                F.transform(at, lambda i, k: F.least(F.lit(5), F.coalesce(i - F.get(at, k - 1), F.lit(5)))),
-                F.lit(0).cast("long"),
-                lambda total, x: total + x,
-            ),
-            F.lit(0).cast("long"),
+            )
         )
 
+    def union(at: Column) -> Column:
+        steps = F.transform(at, lambda i, k: F.least(F.lit(5), F.coalesce(i - F.get(at, k - 1), F.lit(5))))
+        return F.aggregate(steps, none, lambda total, x: total + x)
+
+    covered = _let(F.array_sort(_let(F.array_sort(windows), places)), union)
     hashes = F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
     repeats = F.size(F.array_distinct(hashes)) < n - 4
-    return F.when(n < 6, F.lit(0).cast("long")).when(repeats, covered(words)).otherwise(F.lit(0).cast("long"))
+    return F.when(n < 6, none).when(repeats, covered).otherwise(none)
 
 
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,11 +142,11 @@ OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '{_W}') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_W}')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_W}')) AS l
   FROM documents),
 g AS (
   SELECT *, CASE WHEN len(w) < 6 THEN []
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END AS wins FROM d),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS wins FROM d),
 u AS (SELECT doc_id, min(t) AS t0, unnest(wins) AS win, generate_subscripts(wins, 1) AS i FROM g GROUP BY doc_id, wins),
 p AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM u) WHERE c > 1),
 r AS (
@@ -153,12 +154,12 @@ r AS (
     SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM p) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-    CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) AS BIGINT) AS n_lines,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(w, x -> list_contains([{", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS BIGINT) AS n_stop
+    CAST(len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS BIGINT) AS n_stop
   FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
