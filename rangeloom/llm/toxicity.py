@@ -82,7 +82,7 @@ def _lookup(m: Machine) -> np.ndarray:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4,
+    rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4,
     least: int = 4, z: float = 4.0, seed: int = 5,
 ) -> Machine:
     """Adagrad over logistic loss, in mini-batches.
