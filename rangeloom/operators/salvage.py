@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import strip_trailing_commas, trim
 
@@ -36,7 +37,7 @@ def balanced(body: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _balanced(bodies: pd.Series) -> pd.Series:
     return bodies.map(balanced, na_action="ignore")
 
