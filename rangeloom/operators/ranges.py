@@ -44,7 +44,7 @@ def line_span(line: Column) -> Column:
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_lines: int | None = None, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_lines: int | None = None) -> DataFrame:
     """Rows of one key whose (start, end) and (r_start, r_end) overlap.
 
     The key makes it a hash join.  With bin_lines the line axis is cut into bins, so that a key with
@@ -52,7 +52,7 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_lines: int | N
     """
     hit = overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     if bin_lines is None:
-        return left.join(right, (left[key] == right[key]) & hit, how).drop(right[key])
+        return left.join(right, key).filter(hit)
     cut = lambda df, a, b: df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(a) / bin_lines), F.floor(F.col(b) / bin_lines))))
     pairs = cut(left.filter("start <= end"), "start", "end").join(cut(right.filter("r_start <= r_end"), "r_start", "r_end"), [key, "__bin"])
     return pairs.filter(hit & (F.col("__bin") == F.floor(F.greatest("start", "r_start") / bin_lines))).drop("__bin")

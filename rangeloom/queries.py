@@ -40,7 +40,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def hunks_of(spark: SparkSession, sf: str) -> DataFrame:
     """(file_id, hunk_seq, start, end), a hunk for each line item."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     start = F.col("l_partkey") % 400 + 1
     return _read(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("file_id"), (F.row_number().over(w) - 1).cast("long").alias("hunk_seq"), start.alias("start"),
@@ -48,7 +48,7 @@ def hunks_of(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-H = """h AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS hunk_seq,
+H = """h AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS hunk_seq,
   l_partkey % 400 + 1 AS s, l_partkey % 400 + 1 + CAST(l_quantity AS BIGINT) % 9 AS e FROM lineitem)"""
 
 _CATEGORIES = ("function", "declaration", "assignment", "call", "control", "security")
@@ -56,7 +56,7 @@ _CATEGORIES = ("function", "declaration", "assignment", "call", "control", "secu
 
 def nodes_of(spark: SparkSession, sf: str) -> DataFrame:
     """(file_id, node_seq, category, start_line, start_col, end_line, end_col), a node for each line item."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     start = F.col("l_suppkey") * 7 % 400 + 1
     end = start + F.col("l_linenumber") % 3 * F.when(F.col("l_linenumber") % 6 == 0, 40).otherwise(1)
     return _read(spark, sf, "lineitem").select(
@@ -67,7 +67,7 @@ def nodes_of(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-N = """n AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS node_seq,
+N = """n AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS node_seq,
   ['function','declaration','assignment','call','control','security'][l_linenumber % 6 + 1] AS category,
   l_suppkey * 7 % 400 + 1 AS a, l_suppkey * 7 % 400 + 1 + l_linenumber % 3 * (CASE WHEN l_linenumber % 6 = 0 THEN 40 ELSE 1 END) AS z,
   l_partkey % 20 + 1 AS ac, l_partkey % 20 + 30 AS zc FROM lineitem)"""
@@ -227,7 +227,7 @@ def line_spans(spark, sf):
     return lines.select("doc_id", "line_no", ranges.line_span(F.col("line")).alias("s")).select("doc_id", "line_no", "s.*")
 
 
-@query("""SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), length(CAST(len(string_split(text, chr(10))) AS VARCHAR)), ' ') || '│ ' || x)) AS line FROM documents""")
+@query("""SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), CAST(length(CAST(len(string_split(text, chr(10))) AS VARCHAR)) AS INTEGER), ' ') || '│ ' || x)) AS line FROM documents""")
 def numbered_lines(spark, sf):
     docs = _read(spark, sf, "documents")
     lines = nodes.source_lines(docs, "doc_id").withColumn("n", F.max("line_no").over(Window.partitionBy("doc_id")))
@@ -285,7 +285,7 @@ def greedy_packing(spark, sf):
 @query("""WITH m AS (SELECT DISTINCT ON (l_suppkey, l_partkey % 20) l_suppkey AS session_id, l_partkey % 20 AS model_id, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq FROM lineitem ORDER BY l_suppkey, l_partkey % 20, seq),
 x AS (SELECT DISTINCT l_suppkey AS session_id, l_partkey % 20 AS model_id FROM lineitem WHERE l_suppkey % 5 = 0 OR l_partkey % 3 = 0),
 y AS (SELECT m.*, x.model_id IS NULL AS ok FROM m LEFT JOIN x USING (session_id, model_id)),
-z AS (SELECT * FROM (SELECT *, max(ok) OVER (PARTITION BY session_id) AS some FROM y) WHERE ok OR NOT some),
+z AS (SELECT * FROM (SELECT *, max(ok) OVER (PARTITION BY session_id) AS any_ok FROM y) WHERE ok OR NOT any_ok),
 s AS (SELECT session_id, model_id, CASE WHEN model_id % 2 = 0 THEN 2 WHEN model_id % 5 = 0 THEN 1 ELSE 0 END AS score,
   row_number() OVER (PARTITION BY session_id ORDER BY model_id = session_id % 20 DESC, CASE WHEN model_id % 2 = 0 THEN 2 WHEN model_id % 5 = 0 THEN 1 ELSE 0 END DESC, seq) - 1 AS trial FROM z)
 SELECT session_id, model_id, score, CAST(trial AS INT) AS trial FROM s WHERE trial < 12""")
@@ -338,7 +338,7 @@ def diff_texts(spark: SparkSession, sf: str) -> DataFrame:
     li = _read(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("long") % 9
     head = F.concat(F.lit("@@ -"), (F.col("l_partkey") % 400 + 1).cast("string"), F.lit(","), F.col("l_linenumber").cast("string"), F.lit(" +"), (F.col("l_partkey") % 400 + 1).cast("string"), F.when(q == 1, F.lit("")).otherwise(F.concat(F.lit(","), q.cast("string"))), F.lit(" @@ fn body()\n+++ added text\n-gone"))
-    hunks = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", head.alias("t")))).alias("h"))
+    hunks = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", head.alias("t")))).alias("h"))
     o = _read(spark, sf, "orders").join(hunks, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
     old, new = F.concat(F.lit("src/old "), n, F.lit(".rs")), F.concat(F.lit("src/f "), n, F.lit(".rs"))
@@ -386,11 +386,11 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
         for x in parts[1:]:
             made = F.concat(made, F.col("l_partkey").cast("string"), x)
         line = F.when(F.col("l_linenumber") % 7 == i, made).otherwise(line)
-    rows = li.groupBy(F.col("l_orderkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("t")))).alias("l"))
+    rows = li.groupBy(F.col("l_orderkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t")))).alias("l"))
     return rows.select("file_id", F.concat(F.lit("src/"), F.col("file_id").cast("string"), F.lit(".rs")).alias("path"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
-_L = """l AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_no, l_linenumber % 7 AS m, l_partkey AS p FROM lineitem)"""
+_L = """l AS (SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line_no, l_linenumber % 7 AS m, l_partkey AS p FROM lineitem)"""
 
 
 @query(f"""WITH {_L} SELECT file_id, line_no AS start_line, x.c AS category, x.t AS text, CAST(x.a AS BIGINT) AS start_col FROM l, LATERAL (
@@ -413,13 +413,13 @@ def fallback_scopes(spark, sf):
 
 
 @query(f"""WITH {_L}, v AS (SELECT *, CASE WHEN m IN (0, 6) THEN 0 ELSE 4 END AS deep FROM l WHERE m <> 5), n AS (SELECT file_id, max(line_no) AS n FROM l GROUP BY file_id),
-a AS (SELECT file_id, n, arg_min(deep, line_no) AS deep, min(line_no) AS at FROM v JOIN n USING (file_id) WHERE line_no >= 2 GROUP BY file_id, n),
-b AS (SELECT a.*, (SELECT max(line_no) FROM v WHERE v.file_id = a.file_id AND line_no < at AND v.deep < a.deep) AS up,
-  (SELECT min(line_no) FROM v WHERE v.file_id = a.file_id AND line_no > at AND v.deep < a.deep) AS down FROM a),
+a AS (SELECT file_id, n, arg_min(deep, line_no) AS deep, min(line_no) AS spot FROM v JOIN n USING (file_id) WHERE line_no >= 2 GROUP BY file_id, n),
+b AS (SELECT a.*, (SELECT max(line_no) FROM v WHERE v.file_id = a.file_id AND line_no < spot AND v.deep < a.deep) AS up,
+  (SELECT min(line_no) FROM v WHERE v.file_id = a.file_id AND line_no > spot AND v.deep < a.deep) AS down FROM a),
 c AS (SELECT b.*, (SELECT m FROM l WHERE l.file_id = b.file_id AND line_no = up) AS mark,
   (SELECT min(line_no) FROM v WHERE v.file_id = b.file_id AND line_no > coalesce(up, 0) AND line_no < coalesce(down, 1000000)) AS lo,
   (SELECT max(line_no) FROM v WHERE v.file_id = b.file_id AND line_no > coalesce(up, 0) AND line_no < coalesce(down, 1000000)) AS hi FROM b)
-SELECT n.file_id, CASE WHEN at IS NULL THEN 0 WHEN mark = 0 THEN up - 1 ELSE lo - 1 END AS start_line, CASE WHEN at IS NULL THEN 1 ELSE hi - 1 END AS end_line FROM n LEFT JOIN c USING (file_id)""")
+SELECT n.file_id, CASE WHEN spot IS NULL THEN 0 WHEN mark = 0 THEN up - 1 ELSE lo - 1 END AS start_line, CASE WHEN spot IS NULL THEN 1 ELSE hi - 1 END AS end_line FROM n LEFT JOIN c USING (file_id)""")
 def expand_to_block(spark, sf):
     f = code_files(spark, sf)
     return f.select("file_id", ranges.block_around(F.split("text", "\n", -1), F.lit(1)).alias("b")).select("file_id", "b.*")
