@@ -30,7 +30,7 @@ LENGTH = 100
 #: Bytes of an anchor; LENGTH - ANCHOR + 1 anchors compete in a window.
 ANCHOR = 32
 #: Bytes that one suffix sort takes, contexts of one anchor that it may get, and bytes hashed at once.
-SORT_BYTES, MOST_CONTEXTS, SEGMENT = 1 << 20, 4096, 1 << 22
+SORT_BYTES, MOST_CONTEXTS, SEGMENT = 1 << 20, 4096, 1 << 20
 
 _LOW = np.uint64((1 << 24) - 1)
 _MUL = 0x9E3779B97F4A7C15 | 1
