@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +33,13 @@ class Capacity:
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    Before a single space between other characters there is always a boundary of pre-tokens, so a
-    text is the concatenation of its space-led words, and each word is encoded once.  Texts where
-    white space meets a space, or that name a special token, are encoded whole.
+    The pre-tokenizer always breaks before a single space and about a single line end, each between
+    other characters.  So a text is the concatenation of short pieces, and each different one is
+    encoded once.  A text that has other white space, or names a special token, is encoded whole.
+    Of the pieces, those met lately are kept: at most 2 * most.
     """
 
-    _unsafe = re.compile(r" \s|\s |<\|endoftext\|>")
-    most = 400_000
+    most = 200_000
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
@@ -49,26 +49,31 @@ class Ids:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.led: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in made]
+        return [array("I", x.ids).tobytes() for x in made]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if text.count(" ") + text.count("\n") + 1 != len(text.split()) or "\0" in text or "<|endoftext|>" in text:
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if self._unsafe.search(t) else t.split(" ") for t in texts]
-        need = set().union(*(w[1:] for w in words if w)) - self.led.keys()
-        if need:
-            if len(self.led) > self.most:
-                self.led.clear()
-                need = set().union(*(w[1:] for w in words if w))
-            need = list(need)
-            self.led.update(zip(need, self._encode([" " + w for w in need])))
-        whole = [t if w is None else w[0] for t, w in zip(texts, words)]
-        get = self.led.__getitem__
-        return [
-            first if w is None else first + b"".join(map(get, w[1:])) for first, w in zip(self._encode(whole), words)
-        ]
+        if len(self.known) > self.most:
+            self.known, self.older = {"": b""}, self.known
+        split = list(map(self._pieces, texts))
+        found = [p and list(map(self.known.get, p)) for p in split]
+        need = {w for p, f in zip(split, found) if p and None in f for w, x in zip(p, f) if x is None}
+        again = need & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        need = list(need - again)
+        self.known.update(zip(need, self._encode(need)))
+        whole = iter(self._encode([t for t, p in zip(texts, split) if p is None]))
+        get = self.known.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p) if None in f else f) for p, f in zip(split, found)]
 
 
 _ids: dict[str | None, Ids] = {}
