@@ -30,7 +30,7 @@ def _of_word(word: str) -> tuple[int, ...]:
 
 def terms(text: str | None) -> np.ndarray:
     """The distinct hashed terms of a whole text, sorted; none for a null or empty one."""
-    if len(_known) > 200_000:
+    if len(_known) > 100_000:
         _known.clear()
     out: set[int] = set()
     for w in set(_WORDS.findall((text or "").lower())):
