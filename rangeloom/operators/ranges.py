@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import indent_of, is_closer, trim, trim_end
 from ..schema import END_OF_LINE, MOST_LINES
 
@@ -148,19 +149,30 @@ def block_around(lines: Column, anchor: Column) -> Column:
     Blank anchors move down.  Upwards the block takes lines as deep as the anchor, and one shallower
     header that isn't a closer; downwards it ends before the first shallower line.
     """
-    n = F.size(lines)
     facts = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (trim(x) == "").alias("blank"), indent_of(x).alias("indent"), is_closer(x).alias("closer")))
-    solid = F.filter(facts, lambda f: ~f["blank"])
-    at = F.array_min(F.transform(F.filter(solid, lambda f: f["i"] >= anchor), lambda f: f["i"]))
-    own = F.get(facts, at)["indent"]
-    above = F.array_max(F.filter(solid, lambda f: (f["i"] < at) & (f["indent"] < own)))
-    below = F.array_min(F.transform(F.filter(solid, lambda f: (f["i"] > at) & (f["indent"] < own)), lambda f: f["i"]))
-    inside = F.filter(solid, lambda f: (f["i"] > F.coalesce(above["i"], F.lit(-1))) & (f["i"] < F.coalesce(below, n)))
-    first = F.array_min(F.transform(inside, lambda f: f["i"]))
-    start = F.when(above.isNotNull() & ~above["closer"], above["i"]).otherwise(first)
-    end = F.array_max(F.transform(inside, lambda f: f["i"]))
     none = F.struct(F.greatest(F.lit(0), anchor - 1).cast("long").alias("start_line"), F.greatest(F.lit(0), anchor).cast("long").alias("end_line"))
-    return F.when(at.isNull(), none).otherwise(F.struct(start.cast("long").alias("start_line"), end.cast("long").alias("end_line")))
+
+    def about(solid: Column, at: Column) -> Column:
+        shallow = F.filter(solid, lambda f: f["indent"] < at["indent"])
+        above = F.array_max(F.filter(shallow, lambda f: f["i"] < at["i"]))
+        below = F.array_min(F.transform(F.filter(shallow, lambda f: f["i"] > at["i"]), lambda f: f["i"]))
+        return let(F.struct(above.alias("above"), below.alias("below")), lambda m: inside(solid, m))
+
+    def inside(solid: Column, m: Column) -> Column:
+        own = F.filter(solid, lambda f: (f["i"] > F.coalesce(m["above"]["i"], F.lit(-1))) & (f["i"] < F.coalesce(m["below"], F.size(lines))))
+        header = m["above"].isNotNull() & ~m["above"]["closer"]
+
+        def ends(rows: Column) -> Column:
+            start = F.when(header, m["above"]["i"]).otherwise(F.get(rows, F.lit(0))["i"])
+            return F.struct(start.cast("long").alias("start_line"), F.element_at(rows, -1)["i"].cast("long").alias("end_line"))
+
+        return let(own, ends)
+
+    def found(solid: Column) -> Column:
+        first = F.get(F.filter(solid, lambda f: f["i"] >= anchor), F.lit(0))
+        return let(first, lambda at: F.when(at.isNull(), none).otherwise(about(solid, at)))
+
+    return let(F.filter(facts, lambda f: ~f["blank"]), found)
 
 
 def snap(targets: DataFrame, nodes: DataFrame, key: str, target_id: str, extra: int = 4) -> DataFrame:
