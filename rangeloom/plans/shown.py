@@ -35,4 +35,4 @@ def coverage_note(plans: DataFrame, most_files: int = 12) -> DataFrame:
     """plans (total_steps, total_files, elapsed_ms) with `message`: steps, seconds, and files left out if any."""
     covered = F.least(F.col("total_files"), F.lit(most_files))
     left = F.when(covered < F.col("total_files"), F.concat(F.lit(", covering "), covered.cast("string"), F.lit(" of "), F.col("total_files").cast("string"), F.lit(" changed files"))).otherwise(F.lit(""))
-    return plans.withColumn("message", F.concat(F.col("total_steps").cast("string"), F.lit(" steps in "), F.format_number(F.col("elapsed_ms") / 1000, "0.0"), F.lit(" s"), left))
+    return plans.withColumn("message", F.concat(F.col("total_steps").cast("string"), F.lit(" steps in "), F.format_string("%.1f", F.col("elapsed_ms") / 1000), F.lit(" s"), left))
