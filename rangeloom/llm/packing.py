@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,18 +32,62 @@ class Capacity:
     by: str = "norm"  # or "dot"
 
 
+class Known(dict):
+    """Ids by word, of the last two generations; words asked for in vain are noted."""
+
+    most = 300_000
+    signs = ".,;:!?#$%&*|"
+
+    def __init__(self, lead: str, encode: Callable[[list[str]], list[bytes]]):
+        super().__init__()
+        self.lead, self.encode = lead, encode
+        self.older: dict[str, bytes] = {}
+        self.lacking: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.lacking.append(word)
+
+    def rotate(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self) -> None:
+        """Know what was lacking, but for words that are empty or hold white space; one that ends in
+        signs behind a letter or digit is its stem and the signs."""
+        words = set(self.lacking)
+        self.lacking.clear()
+        again = words & self.older.keys()
+        self.update((w, self.older[w]) for w in again)
+        apart, need, tails = [], set(), set()
+        for w in words - again:
+            if w[-1:] in self.signs and w:
+                stem = w.rstrip(self.signs)
+                if stem and stem[-1].isalnum():
+                    apart.append((w, stem, w[len(stem) :]))
+                    need.add(stem)
+                    tails.add(w[len(stem) :])
+                    continue
+            need.add(w)
+        need = [w for w in need - self.keys() if w]
+        if len("\0".join(need).split()) > 1:  # some hold white space
+            need = [w for w in need if w.split() == [w]]
+        self.update(zip(need, self.encode([self.lead + w for w in need])))
+        tails = list(tails)
+        ends = dict(zip(tails, self.encode(tails)))
+        self.update((w, self.get(stem) + ends[tail]) for w, stem, tail in apart if stem in self)
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
     The pre-tokenizer always breaks before a single space and about a single line end, each between
-    other characters.  So a text is the concatenation of short pieces, and each different one is
+    other characters.  So a text is the concatenation of short words, and each different one is
     encoded once.  A text that has other white space, or names a special token, is encoded whole.
-    Of the pieces, those met lately are kept: at most 2 * most.
     """
 
-    most = 200_000
-
     def __init__(self, path: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         if path is None:
@@ -49,31 +95,44 @@ class Ids:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.bare, self.led = Known("", self._encode), Known(" ", self._encode)
+        self.line_end = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in made]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if text.count(" ") + text.count("\n") + 1 != len(text.split()) or "\0" in text or "<|endoftext|>" in text:
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def _rows(self, text: str) -> list[tuple]:
+        """For each line its first word, the others, and their ids as far as known."""
+        led, rows = self.led.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            first = words.pop(0)
+            rows.append((first, words, self.bare[first], list(map(led, words))))
+        return rows
+
+    def _joined(self, rows: list[tuple]) -> bytes | None:
+        led, parts = self.led.__getitem__, []
+        last = len(rows) - 1
+        for i, (first, words, head, ids) in enumerate(rows):
+            if first or i < last or not i or words:
+                parts.append(self.bare[first] if head is None else head)
+                parts += map(led, words) if None in ids else ids
+            if i < last:
+                parts.append(self.line_end)
+        return None if None in parts else b"".join(parts)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known, self.older = {"": b""}, self.known
-        split = list(map(self._pieces, texts))
-        found = [p and list(map(self.known.get, p)) for p in split]
-        need = {w for p, f in zip(split, found) if p and None in f for w, x in zip(p, f) if x is None}
-        again = need & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        need = list(need - again)
-        self.known.update(zip(need, self._encode(need)))
-        whole = iter(self._encode([t for t, p in zip(texts, split) if p is None]))
-        get = self.known.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p) if None in f else f) for p, f in zip(split, found)]
+        self.bare.rotate()
+        self.led.rotate()
+        rows = [None if "<|endoftext|>" in t else self._rows(t) for t in texts]
+        self.bare.learn()
+        self.led.learn()
+        out = [r and self._joined(r) for r in rows]
+        self.bare.lacking.clear()
+        self.led.lacking.clear()
+        whole = iter(self._encode([t for t, x in zip(texts, out) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 _ids: dict[str | None, Ids] = {}
