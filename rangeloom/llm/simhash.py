@@ -118,17 +118,21 @@ def near_duplicates(
     )
 
 
-def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each group the row of the smallest id stays, with all columns.
+def smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of each group in found (id_col, component_id) the row of docs of the smallest id, with all columns.
 
     Of several rows with that id one stays.  Rows with a null id stay, all of them.
     """
-    found = near_duplicates(spark, docs, id_col, text_col)
     kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
     one = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
+def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates, as smallest keeps them."""
+    return smallest(docs, near_duplicates(spark, docs, id_col, text_col), id_col)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
