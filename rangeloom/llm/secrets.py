@@ -57,6 +57,19 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(press.compress(around + raw)) - len(press.compress(around))) / len(raw)
 
 
+def _surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after, without other copies of the string or of what follows its = or /.
+
+    That a secret is repeated doesn't make it familiar.  Copies that the edge would cut are removed too.
+    """
+    raw, far = text[start:end], 4 * REACH
+    before, after = text[max(0, start - far - len(raw)) : start], text[end : end + far + len(raw)]
+    parts = {raw} | {x for by in ("=", "[=/]") for x in re.split(by, raw) if len(x) >= 16}
+    for part in sorted(parts, key=lambda x: (-len(x), x)):
+        before, after = before.replace(part, " "), after.replace(part, " ")
+    return before[-far:], after[:far]
+
+
 def _hexes(text: str) -> list[S.Span]:
     return [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
@@ -87,7 +100,8 @@ def novel_spans(text: str, threshold: float = NOVELTY) -> list[S.Span]:
             raw = m.group()
             if not (re.search("[0-9]", raw) and re.search("[A-Za-z]", raw)):
                 continue
-            if novelty(text[max(0, m.start() - 4 * REACH) : m.start()], raw, text[m.end() : m.end() + 4 * REACH]) >= threshold:
+            before, after = _surroundings(text, m.start(), m.end())
+            if novelty(before, raw, after) >= threshold:
                 found.append(("novel", m.start(), m.end()))
     return found
 
