@@ -87,22 +87,22 @@ def base_spans(text: str) -> list[S.Span]:
 def novel_spans(text: str, threshold: float = NOVELTY) -> list[S.Span]:
     """Strings of 16 characters or more, with a letter and a digit, near a word of _CONTEXT, that the
     primed compressor can't shorten."""
+    words = [(m.start() - REACH, m.end() + REACH) for m in _CONTEXT.finditer(text)]
     found: list[S.Span] = []
-    done = -1
-    for word in _CONTEXT.finditer(text):
-        low, high = max(0, word.start() - REACH), min(len(text), word.end() + REACH)
-        for m in _CANDIDATE.finditer(text, low):
-            if m.start() >= high:
-                break
-            if m.start() <= done:
-                continue
-            done = m.start()
-            raw = m.group()
-            if not (re.search("[0-9]", raw) and re.search("[A-Za-z]", raw)):
-                continue
-            before, after = _surroundings(text, m.start(), m.end())
-            if novelty(before, raw, after) >= threshold:
-                found.append(("novel", m.start(), m.end()))
+    at = 0
+    for m in _CANDIDATE.finditer(text) if words else ():
+        while at < len(words) and words[at][1] <= m.start():
+            at += 1
+        if at == len(words):
+            break
+        if m.end() < words[at][0]:
+            continue
+        raw = m.group()
+        if not (re.search("[0-9]", raw) and re.search("[A-Za-z]", raw)):
+            continue
+        before, after = _surroundings(text, m.start(), m.end())
+        if novelty(before, raw, after) >= threshold:
+            found.append(("novel", m.start(), m.end()))
     return found
 
 

@@ -27,3 +27,11 @@ def test_copies_at_the_edge():
     for gap in range(200, 270):
         text = f"bearer {k} " + ("so the text runs on " * 20)[:gap] + f" bearer {k}"
         assert len(secrets.novel_spans(text)) == 2, gap
+
+
+def test_long_secrets_before_their_word():
+    for n in (70, 100, 300):
+        k = keys(n)[0]
+        text = f"the value {k} is the access key"
+        assert [text[a:b] for _, a, b in secrets.novel_spans(text)] == [k]
+    assert secrets.novel_spans(f"{keys(20)[0]} {'so on ' * 12}token") == []
