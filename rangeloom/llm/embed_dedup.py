@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ COSINE = 0.9
 #: Vectors the rotations are fitted on at most, drawn by a hash of the id; every vector is indexed.
 SAMPLE = 5_000
 STEPS = 20
+#: Sampled vectors of a length that rotations are fitted on at least, but for the most frequent length.
+FEW = 50
 #: Bits of a code's substring, the key of a table; two vectors meet where a substring agrees.
 KEY_BITS, TABLES = 16, 32
 BLOCK = 1024
@@ -116,8 +119,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept), a row for each row of df.
 
-    Vectors that are null, zero, of another length than the first sampled one, or hold a null or a
-    number that is not finite link with nothing; so do rows with a null id.  Equal vectors collapse
+    Vectors that are null, zero, or hold a null or a number that is not finite link with nothing; so do
+    rows with a null id.  Vectors of each length are indexed on their own, by rotations fitted on the
+    sampled ones of that length, or random ones where the sample has few.  Equal vectors collapse
     before the search and count as linked with each other.  No pair is written: tables give sums of
     links and chains to representatives.
     """
@@ -141,34 +145,40 @@ def near_duplicates(
         return base.select(
             F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
         )
-    unit, ok = _vectors(got.column("v").combine_chunks())
-    mean, projections = fit_rotations(unit[ok])
-    dims = unit.shape[1]
+    column = got.column("v").combine_chunks()
+    lengths, counts = np.unique(pc.list_value_length(column).to_numpy(), return_counts=True)
+    fitted = {}
+    for size in lengths[(counts >= FEW) | (counts == counts.max())].tolist():
+        unit, ok = _vectors(column, size)
+        fitted[size] = fit_rotations(unit[ok])
     schema = T.StructType(
         [T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("code", T.BinaryType())]
     )
 
     def encode(batches):
         for b in batches:
-            x, fine = _vectors(b.column(2), dims)
-            at = np.flatnonzero(fine)
-            rows = b.column(2).take(pa.array(at)).to_pylist()
-            made = codes(x[at], mean, projections)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(at)),
-                    b.column(1).take(pa.array(at)),
-                    pa.array([np.array(r, dtype=np.float32).tobytes() for r in rows], type=pa.binary()),
-                    pa.array([r.tobytes() for r in made], type=pa.binary()),
-                ],
-                names=schema.names,
-            )
+            for size in np.unique(pc.list_value_length(b.column(2)).to_numpy()).tolist():
+                mean, projections = fitted.get(size) or fit_rotations(np.zeros((1, size)), steps=0)
+                x, fine = _vectors(b.column(2), size)
+                at = np.flatnonzero(fine)
+                rows = b.column(2).take(pa.array(at)).to_pylist()
+                made = codes(x[at], mean, projections)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(at)),
+                        b.column(1).take(pa.array(at)),
+                        pa.array([np.array(r, dtype=np.float32).tobytes() for r in rows], type=pa.binary()),
+                        pa.array([r.tobytes() for r in made], type=pa.binary()),
+                    ],
+                    names=schema.names,
+                )
 
     coded = classes.select("node", "weight", "v").mapInArrow(encode, schema)
-    tables = projections.shape[1] // KEY_BITS
+    # raw holds four bytes a component; a key counts within one length
+    length = F.octet_length("raw").cast("long")
     keys = F.transform(
-        F.sequence(F.lit(0), F.lit(tables - 1)),
-        lambda t: F.struct(t.alias("t"), F.conv(F.hex(F.substring(F.col("code"), 2 * t + 1, F.lit(2))), 16, 10).cast("int").alias("key")),
+        F.sequence(F.lit(0), F.lit(TABLES - 1)),
+        lambda t: F.struct(t.alias("t"), (F.conv(F.hex(F.substring(F.col("code"), 2 * t + 1, F.lit(2))), 16, 10).cast("long") + length * (1 << KEY_BITS)).alias("key")),
     )
     spread = coded.select("node", "weight", "raw", "code", F.explode(keys).alias("x")).select("node", "weight", "raw", "code", "x.t", "x.key")
     dealt = blocked(spread, ["t", "key"], "node", block).select("t", "key", "__i", "__j", "__b", "node", "weight", "raw", "code")
