@@ -77,6 +77,15 @@ class Scratch:
         _remove(self.spark, path)
 
 
+def free_name(taken, stem: str) -> str:
+    """A column name that none of those taken has, in any case."""
+    low = {c.lower() for c in taken}
+    name = f"__{stem}"
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -91,7 +100,7 @@ def append_columns(
     """
     taken = {name.lower() for name, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    source = df.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    source = df.select(F.col(f"`{text_col}`").cast("string").alias(free_name(kept, "text")), *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
     types = [to_arrow_type(t) for _, t in fields]
     names = [*kept, *(n for n, _ in fields)]
