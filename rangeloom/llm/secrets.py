@@ -22,6 +22,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words near which a string is suspect, and the reach of "near" in characters.
 _CONTEXT = re.compile(r"(?ai)passw|secret|token|api.?key|credential|auth|bearer|private|access.?key|login|akia")
 REACH = 64
+LONG = 4096
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 #: What ordinary identifiers and code look like; the compressor starts with it, so that they cost little.
@@ -60,10 +61,12 @@ def novelty(before: str, candidate: str, after: str) -> float:
 def _surroundings(text: str, start: int, end: int) -> tuple[str, str]:
     """What stands before and after, without other copies of the string or of what follows its = or /.
 
-    That a secret is repeated doesn't make it familiar.  Copies that the edge would cut are removed too.
+    That a secret is repeated doesn't make it familiar.  Copies that the edge would cut are removed too,
+    unless they are longer than LONG: what is left of one is then too short to tell.
     """
     raw, far = text[start:end], 4 * REACH
-    before, after = text[max(0, start - far - len(raw)) : start], text[end : end + far + len(raw)]
+    near = far + min(len(raw), LONG)
+    before, after = text[max(0, start - near) : start], text[end : end + near]
     parts = {raw} | {x for by in ("=", "[=/]") for x in re.split(by, raw) if len(x) >= 16}
     for part in sorted(parts, key=lambda x: (-len(x), x)):
         before, after = before.replace(part, " "), after.replace(part, " ")
