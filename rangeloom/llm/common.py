@@ -7,12 +7,15 @@ executor costs a re-read and never a recomputation of the lineage behind it.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +36,15 @@ def scratch_dir(spark: SparkSession) -> str:
         return folder
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
-        folder = tempfile.mkdtemp(prefix="rangeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder) if _settable(spark) else None
-        return folder
+        return _local_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def _settable(spark: SparkSession) -> bool:
-    return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
+@lru_cache(1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="rangeloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -59,7 +63,11 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage."""
+    """Tables written to the shared folder, which cut lineage.
+
+    Results are read from them, so they stay till the process ends; clear() removes them earlier, once
+    what was made of them has been written elsewhere.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -76,6 +84,9 @@ class Scratch:
     def drop(self, path: str) -> None:
         _remove(self.spark, path)
 
+    def clear(self) -> None:
+        _remove(self.spark, self.root)
+
 
 def free_name(taken, stem: str) -> str:
     """A column name that none of those taken has, in any case."""
@@ -163,14 +174,93 @@ def grouped(
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def blocked(df: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+def members(df: DataFrame, keys: list[str], differ: int | None = None) -> DataFrame:
+    """Of each bucket on keys the rows that may be near another, with the name of their set: h0, h1.
+
+    df: the integer columns keys and __b, the long column node, and sign if differ is given; then only
+    rows count whose sign differs from another's of the bucket in that many bits at most.  Buckets of
+    one such row give none.  Buckets must be of bounded size (see blocked).  Streams over rows in
+    order of bucket, holding a batch and a bucket; all buckets of a batch are compared at once,
+    neighbours at a distance of 1, 2, ...
+    """
+    names = [f for f in df.schema.fields if f.name != "sign"]
+    schema = T.StructType([*names, T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())])
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        columns = {c: table.column(c).to_numpy() for c in table.column_names}
+        n = table.num_rows
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for c in keys:
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        head = np.flatnonzero(new)
+        end = np.repeat(np.append(head[1:], n), np.diff(np.append(head, n)))
+        if differ is None:
+            close = end - np.repeat(head, np.diff(np.append(head, n))) > 1
+        else:
+            sign, close = columns["sign"].view(np.uint64), np.zeros(n, dtype=bool)
+            rows, step = np.flatnonzero(np.arange(n) + 1 < end), 1
+            while len(rows):
+                hit = rows[np.bitwise_count(sign[rows] ^ sign[rows + step]) <= differ]
+                close[hit] = close[hit + step] = True
+                step += 1
+                rows = rows[rows + step < end[rows]]
+        rows = np.flatnonzero(close)
+        if not len(rows):
+            return None
+        group = (np.cumsum(new) - 1)[rows]
+        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(rows))
+        alike = [c for c in ("node", "__b", "__i", "__j") if c in columns]
+        member = np.stack([columns[c][rows].astype(np.int64) for c in alike], 1)
+        mark = np.empty((len(rows), 2), dtype=np.int64)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            mark[a:b] = np.frombuffer(xxhash.xxh3_128_digest(member[a:b].tobytes()), dtype=np.int64)
+        out = [columns[f.name][rows] for f in names] + [mark[:, 0], mark[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=to_arrow_type(f.dataType)) for x, f in zip(out, schema.fields)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            if carry is not None:
+                table = pa.concat_tables([carry, table]).combine_chunks()
+            other = np.zeros(table.num_rows, dtype=bool)
+            for c in keys:
+                x = table.column(c).to_numpy()
+                other |= x != x[-1]
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            carry = table.slice(cut)
+            made = compare(table.slice(0, cut)) if cut else None
+            if made is not None:
+                yield made
+        made = compare(carry) if carry is not None else None
+        if made is not None:
+            yield made
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+
+
+def once(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of members without buckets whose set an earlier bucket, in order of keys, has too."""
+    first = near.groupBy("h0", "h1").agg(F.min(F.struct(*keys)).alias("__g"))
+    return near.join(first, ["h0", "h1"]).filter(F.struct(*keys) == F.col("__g")).drop("__g", "h0", "h1")
+
+
+def blocked(df: DataFrame, keys: list[str], by: str, block: int, counted: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """df with __i and __j, so that each group on (*keys, __i, __j) has about 2 * block rows at most.
 
     A key with more than block rows is dealt into blocks by a hash of the column `by`; every pair of
     blocks becomes a group, so every pair of the key's rows meets in some group.  Rows of small keys
-    are not copied.  __b is the row's own block, __g the number of blocks.
+    are not copied.  __b is the row's own block, __g the number of blocks.  With counted over 1 the
+    rows of a key are reckoned from one in so many values of `by`; that changes how rows are dealt
+    and no result.  With scratch the large keys are written, so that Spark knows their size.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
+    some = df if counted == 1 else df.filter(F.pmod(F.xxhash64(by, F.lit(11)), F.lit(counted)) == 0)
+    large = some.groupBy(*keys).agg((F.count(F.lit(1)) * counted).alias("__n")).filter(F.col("__n") > block)
+    if scratch is not None:
+        large = scratch.write(large)
     out = df.join(large, keys, "left").withColumn(
         "__g", F.when(F.col("__n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("__n") / block)).cast("int")
     )
