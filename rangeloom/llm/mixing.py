@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, free_name, read
 
 #: A rate above this is dealt into equal parts whose counts add up, so that tables of thresholds stay short.
 PART = 64.0
+#: Sources whose rates are broadcast at most: about 1.3 kB each.  Beyond, a source is dealt into SALT parts.
+FEW_SOURCES, SALT = 2000, 64
 
 
 def _uniform(*parts: Column) -> Column:
@@ -29,30 +33,33 @@ def _thresholds(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
 
 
-def rates(df: DataFrame, source_col: str, size: Column, weights: dict[str | None, float] | None, temperature: float) -> DataFrame:
-    """(__source, __rate, __m, __cdf): the mean number of copies of a document of each source.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rates(df: DataFrame, source_col: str, size: Column, weights: dict[str | None, float] | None, temperature: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((source, rate, parts, cdf), number of sources): the mean number of copies of a document of each source.
 
     The rate is target share x total size / size of the source, so the mixture keeps the size of the
     input in the mean.  weights names shares by source (a source it lacks gets 0); without it the
-    share goes as size ** temperature.
+    share goes as size ** temperature.  Null is a source; one without size, and all of a table without
+    any, have rate 0.  The input is read once, for sizes by source.
     """
-    stats = df.groupBy(F.col(f"`{source_col}`").cast("string").alias("__source")).agg(F.sum(size).alias("__size"))
+    stats = scratch.write(df.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.coalesce(F.sum(size).cast("double"), F.lit(0.0)).alias("size")))
     if weights is None:
-        share = F.pow("__size", F.lit(temperature))
+        share = F.pow("size", F.lit(temperature))
     else:
         share = F.lit(0.0)
         for name, w in weights.items():
-            share = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
-    stats = stats.withColumn("__size", F.coalesce(F.col("__size").cast("double"), F.lit(0.0))).withColumn("__share", F.when(F.col("__size") > 0, share).otherwise(F.lit(0.0)))
-    whole = stats.agg(F.sum("__size"), F.sum("__share")).first()
+            share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
+    stats = stats.withColumn("share", F.when(F.col("size") > 0, share).otherwise(F.lit(0.0)))
+    whole = stats.agg(F.sum("size"), F.sum("share"), F.count(F.lit(1))).first()
     total, shares = whole[0] or 0.0, whole[1] or 0.0
-    if not shares:
-        rate = F.lit(0.0)
-    else:
-        rate = F.when(F.col("__size") > 0, F.col("__share") / F.lit(shares) * F.lit(total) / F.col("__size")).otherwise(F.lit(0.0))
-    out = stats.select("__source", rate.alias("__rate"))
-    out = out.withColumn("__m", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART).cast("int")))
-    return out.withColumn("__cdf", _thresholds(F.col("__rate") / F.col("__m")))
+    rate = F.lit(0.0) if not shares else F.when(F.col("size") > 0, F.col("share") / F.lit(shares) * F.lit(total) / F.col("size")).otherwise(F.lit(0.0))
+    out = stats.select("source", rate.alias("rate"))
+    out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int")))
+    return out.withColumn("cdf", _thresholds(F.col("rate") / F.col("parts"))), whole[2]
 
 
 def mix(
@@ -68,33 +75,46 @@ def mix(
     """df's rows, each as often as its Poisson count says, with replica and shuffle_key, in shuffled order.
 
     A null source is a source of its own; a null size counts as 0 and a source without size gets no
-    copy; repeated keys get equal counts.  A null key hashes as text of its own.  Existing columns of
-    the two names are replaced.  The number of copies of a row depends on its key, its source's rate
-    and the seed alone.  The table of rates has a row for each source and is joined, so Spark
-    broadcasts it only if its measured size allows.
+    copy; repeated keys get equal counts; an empty table stays empty.  A null key hashes as text of
+    its own.  Existing columns of the two names are replaced.  The number of copies of a row depends
+    on its key, its source's rate and the seed alone.
+
+    The table of rates is broadcast while it has FEW_SOURCES rows at most, which are counted; with more,
+    rows are dealt by source and a part of their key, so that a source of any share meets its rate in
+    SALT tasks.  Keys of order are hashes, so that their ranges are known and nothing is sampled:
+    a row goes to the partition that its key's first digits name, and partitions are sorted.
     """
     size = F.col(f"`{size_col}`").cast("double") if size_col else F.lit(1.0)
-    table = rates(df, source_col, size, weights, temperature)
-    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("replica", "shuffle_key")]
+    table, sources = rates(df, source_col, size, weights, temperature, Scratch(df.sparkSession))
+    kept = [c for c in df.columns if c.lower() not in ("replica", "shuffle_key")]
+    name = {n: free_name([*df.columns, "replica", "shuffle_key"], n) for n in ("source", "rate", "parts", "cdf", "salt", "from", "replica")}
+    table = table.withColumnsRenamed(name)
     key = F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("null"))
-    out = df.withColumn("__s", F.col(f"`{source_col}`").cast("string")).join(
-        table, F.col("__s").eqNullSafe(F.col("__source"))
-    )
-    part = lambda j: F.size(F.filter("__cdf", lambda c: c < _uniform(F.lit(seed), key, j)))
-    one = F.expr(
-        f"size(filter(__cdf, c -> c < __u))"
-    )
-    out = out.withColumn("__u", _uniform(F.lit(seed), key, F.lit(0)))
-    count = F.when(F.col("__m") == 1, one).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.col("__m") - 1), F.lit(0), lambda a, j: a + part(j))
-    )
-    out = out.withColumn("__count", count).filter("__count > 0")
-    out = out.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("replica"))
+    rows = df.withColumn(name["from"], F.col(f"`{source_col}`").cast("string"))
+    on = F.col(name["from"]).eqNullSafe(F.col(name["source"]))
+    if sources <= FEW_SOURCES:
+        rows = rows.join(F.broadcast(table), on)
+    else:
+        table = table.withColumn(name["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salt = name["from"] + "_salt"
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")).join(table, on & (F.col(salt) == F.col(name["salt"])))
+    cdf, parts = F.col(name["cdf"]), F.col(name["parts"])
+    part = lambda j: _let(_uniform(F.lit(seed), key, j), lambda u: F.size(F.filter(cdf, lambda c: c < u)))
+    many = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda a, j: a + part(j))
+    count = F.when(parts == 1, part(F.lit(0))).otherwise(many)
+    # outer, so that Spark doesn't work the count out a second time for a filter ahead; no copy is a null place
+    out = rows.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer(F.array_repeat(F.lit(True), count)).alias("replica", name["replica"]))
+    out = out.filter(F.col("replica").isNotNull()).drop(name["replica"])
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, F.col("replica").cast("string")).cast("binary")))
-    return out.orderBy("shuffle_key", "replica") if shuffle else out
+    if not shuffle:
+        return out
+    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.conv(F.substring("shuffle_key", 1, 6), 16, 10).cast("long")
+    return out.repartitionById(partitions, F.floor(first * F.lit(partitions) / F.lit(1 << 24)).cast("int")).sortWithinPartitions("shuffle_key", "replica")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of all documents by the square root of their sources' sizes; an empty table gives none."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return mix(docs).select("doc_id", "source", "replica", "shuffle_key")
 
