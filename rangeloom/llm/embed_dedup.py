@@ -73,14 +73,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _pairs(group: dict[str, pa.Array], cosine: float) -> pa.RecordBatch | None:
+def _pairs(group: dict[str, pa.Array], cosine: float, short: type) -> pa.RecordBatch | None:
     """(node, n, root) for the rows with a link whose first table this is: n other vectors linked, and
     a row that its links reach.  Pairs count once: in the first table whose substrings agree, in the
     one group of that table where their blocks meet."""
     node, weight = group["node"].to_numpy(), group["weight"].to_numpy()
     n = len(node)
     x = unit(np.stack([np.frombuffer(v, dtype=np.float32) for v in group["raw"].to_pylist()]))
-    code = np.stack([np.frombuffer(v, dtype=np.int64) for v in group["code"].to_pylist()])
+    code = np.stack([np.frombuffer(v, dtype=short) for v in group["code"].to_pylist()])
     table = int(group["tk"][0].as_py()) >> 40
     block, i, j = group["__b"].to_numpy(), int(group["__i"][0].as_py()), int(group["__j"][0].as_py())
     links, root = np.zeros(n, dtype=np.int64), np.arange(n)
@@ -146,10 +146,13 @@ def near_duplicates(
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     good = good & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good & F.exists("v", lambda x: x != 0)
-    # one row a distinct vector, named by its smallest id; zeros of either sign are equal
-    plain = rows.withColumn("v", F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast("float"))))
+    # one row a distinct vector, by 128 bits of hash, named by its smallest id; zeros of either sign are equal
+    v = F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
+    plain = rows.select("id", v.alias("v")).withColumns({"v0": F.xxhash64("v"), "v1": F.xxhash64(F.lit(1), "v")})
+    equal = ["v0", "v1"]
+    whole = plain.filter(F.col("v").isNotNull())
     classes = scratch.write(
-        plain.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
+        whole.groupBy(*equal).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
     )
     total = classes.count()
     share = min(1.0, sample / max(1, total))
@@ -173,6 +176,7 @@ def near_duplicates(
     sizes, counts = np.unique(lengths, return_counts=True)
     for size in sizes[(counts >= FEW) | (counts == counts.max())].tolist():
         fitted[size] = fit_rotations(unit(values[starts[lengths == size][:, None] + np.arange(size)]), every)
+    short = np.uint16 if key_bits <= 16 else np.uint32 if key_bits <= 32 else np.uint64
     long, plain_int = T.LongType(), T.IntegerType()
     schema = T.StructType(
         [T.StructField("node", long), T.StructField("weight", long), T.StructField("size", plain_int)]
@@ -195,7 +199,7 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(at), size), pa.int32()),
-                        pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sign),
+                        pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([k.tobytes() for k in keys.astype(short)], pa.binary()), pa.array(sign),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * tables, pa.int32()), pa.array(tk.ravel())),
                     ],
                     names=schema.names,
@@ -208,16 +212,17 @@ def near_duplicates(
     chosen = once(scratch.write(members(dealt, keys, DIFFER)), keys)
     full = chosen.join(coded.select("node", "weight", "raw", "code"), "node")
     found = T.StructType([T.StructField("node", long), T.StructField("n", long), T.StructField("root", long)])
-    met = scratch.write(grouped(full, keys, lambda g: _pairs(g, cosine), found))
+    met = scratch.write(grouped(full, keys, lambda g: _pairs(g, cosine, short), found))
     degree = met.groupBy("node").agg(F.sum("n").alias("n"))
     least = components(scratch, met.select("node", "root"))
     ends = (
-        classes.select("v", "node", "weight")
+        classes.select(*equal, "node", "weight")
         .join(degree, "node", "left")
         .join(least, "node", "left")
-        .select("v", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
+        .select(*equal, F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
     )
-    out = plain.join(ends, "v", "left")
+    out = whole.select("id", *equal).join(ends, equal, "left").select("id", "c", "n")
+    out = out.unionByName(plain.filter(F.col("v").isNull()).select("id"), allowMissingColumns=True)
     component = F.coalesce("c", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
