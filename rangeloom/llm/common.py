@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -97,6 +97,21 @@ def free_name(taken, stem: str) -> str:
     return name
 
 
+#: Ids that a join broadcasts at most: 32 MB, and some 200 MB in a process that looks them up.
+FEW_IDS = 4_000_000
+
+
+def with_ids(scratch: Scratch, df: DataFrame, key: Column, ids: DataFrame, how: str, most: int = FEW_IDS) -> DataFrame:
+    """df's rows whose key is among ids (how="left_semi") or isn't (how="left_anti"); a null key never is.
+
+    ids has one long column.  It is written and counted: up to `most` ids go to where df is, so that
+    wide rows stay where they are; more meet df by a shuffle of both.  The rows are the same.
+    """
+    name = free_name(df.columns, "id")
+    known = scratch.write(ids.toDF(name).distinct())
+    return df.join(F.broadcast(known) if known.count() <= most else known, key == F.col(name), how)
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, blocked, free_name, grouped, read
+from .common import Scratch, append_columns, blocked, free_name, grouped, read, with_ids
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -118,26 +118,26 @@ def near_duplicates(
     )
 
 
-def smallest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def smallest(scratch: Scratch, docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group in found (id_col, component_id) the row of docs of the smallest id, with all columns.
 
     Of several rows with that id the one of the smallest text stays, and of those the one of the
     smallest hash of its columns.  Rows with a null id stay, all of them.  An empty table stays empty.
     """
-    i, key = free_name(docs.columns, "id"), F.col(f"`{id_col}`").cast("long")
-    known = found.select(F.col(id_col).alias(i), F.col("component_id").alias("c")).filter("c IS NOT NULL")
-    gone = known.filter(F.col(i) != F.col("c")).select(i).distinct()
-    left = docs.join(gone, key == F.col(i), "left_anti")
-    several = known.filter(F.col(i) == F.col("c")).groupBy(i).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(i)
+    key = F.col(f"`{id_col}`").cast("long")
+    known = scratch.write(found.select(F.col(id_col).alias("i"), F.col("component_id").alias("c")).filter("c IS NOT NULL"))
+    left = with_ids(scratch, docs, key, known.filter("i != c").select("i"), "left_anti")
+    several = scratch.write(known.filter("i = c").groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.col(f"`{text_col}`"), F.xxhash64(*[c for c, (_, kind) in zip(columns, docs.dtypes) if not kind.startswith("map")]))
-    one = left.join(several, key == F.col(i), "left_semi").groupBy(key.alias(i)).agg(F.min_by(F.struct(*columns), order).alias("r"))
-    return left.join(several, key == F.col(i), "left_anti").unionByName(one.select("r.*"))
+    i = free_name(docs.columns, "i")
+    one = with_ids(scratch, left, key, several, "left_semi").groupBy(key.alias(i)).agg(F.min_by(F.struct(*columns), order).alias("r"))
+    return with_ids(scratch, left, key, several, "left_anti").unionByName(one.select("r.*"))
 
 
 def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates, as smallest keeps them."""
-    return smallest(docs, near_duplicates(spark, docs, id_col, text_col), id_col, text_col)
+    return smallest(Scratch(spark), docs, near_duplicates(spark, docs, id_col, text_col), id_col, text_col)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

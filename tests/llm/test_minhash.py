@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from rangeloom.llm import minhash, pii
-from rangeloom.llm.common import Scratch, read
+from rangeloom.llm.common import Scratch, read, with_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,13 @@ def test_stage(spark):
     assert plain.count() == single.count() and all(not pii.base_spans(r.text) for r in plain.collect())
     mixed = scratch.write(cp.mix_sources(spark, plain, SF))
     assert cp.pack_sequences(spark, mixed, SF).filter("piece = 0").count() == mixed.count()
+
+
+def test_ids_by_shuffle_or_broadcast(spark, docs_of):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)]
+    ids = spark.createDataFrame([(1,), (1,), (3,), (None,), (9,)], "x long")
+    for most in (0, 100):
+        for how, wanted in (("left_semi", ["a", "b", None]), ("left_anti", ["c", "d"])):
+            got = with_ids(Scratch(spark), docs_of(rows), F.col("doc_id"), ids, how, most)
+            assert sorted(r.text or "" for r in got.collect()) == sorted(t or "" for t in wanted)
+            assert got.columns == docs_of(rows).columns
