@@ -16,6 +16,8 @@ from .common import append_columns, read
 #: About this many labelled rows are fitted at most, drawn by a hash of the id; the model is one for all sizes.
 SAMPLE = 10_000
 BITS = 20
+#: Terms among which pairs are looked for; a fit holds a row and a column for each.
+PAIRED = 1024
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -81,15 +83,42 @@ def _lookup(m: Machine) -> np.ndarray:
     return _lookups[key][1]
 
 
+def pair_terms(flat: np.ndarray, ptr: np.ndarray, labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, z: float, most: int) -> np.ndarray:
+    """Terms of a pair whose share of toxic rows is z standard errors off that of either term alone.
+
+    Pairs are those of the `most` terms that part the rows most evenly: a pair is seen often enough to
+    tell only if both its terms are.
+    """
+    n = len(ptr) - 1
+    even = np.minimum(seen, n - seen)
+    top = np.sort(np.argsort(-even, kind="stable")[:most])
+    top = top[even[top] >= 20]
+    if len(top) < 2:
+        return top[:0]
+    place = np.full(len(seen), -1, dtype=np.int64)
+    place[top] = np.arange(len(top))
+    x = np.zeros((n, len(top)), dtype=np.float32)
+    at = place[flat]
+    inside = at >= 0
+    x[np.repeat(np.arange(n), np.diff(ptr))[inside], at[inside]] = 1.0
+    both, bad = x.T @ x, x.T @ (x * labels[:, None].astype(np.float32))
+    share = ((toxic[top] + 0.5) / (seen[top] + 1.0))[:, None]
+    spread = share * (1 - share) * both * np.maximum(1 - both / seen[top][:, None], 1e-9)
+    off = np.abs(bad - share * both) / np.sqrt(np.maximum(spread, 0.25))
+    off[both < 10] = 0.0
+    return top[(np.minimum(off, off.T) >= z).any(1)]
+
+
 def fit(
     rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 80, rate: float = 0.1, decay: float = 1e-4,
-    least: int = 4, z: float = 4.0, seed: int = 5,
+    least: int = 4, z: float = 4.0, pair_z: float = 6.0, paired: int = PAIRED, seed: int = 5,
 ) -> Machine:
     """Adagrad over logistic loss, in mini-batches.
 
     A term counts if at least `least` rows have it and its share of toxic rows is off the base rate
-    by z standard errors; this keeps chance words of long texts out of the sums.  Without rows of
-    both labels the machine scores the smoothed base rate.
+    by z standard errors, or if one of its pairs is off what either term alone says (see pair_terms);
+    this keeps chance words of long texts out of the sums, and words that tell only beside another in.
+    Without rows of both labels, or without rows, the machine scores the smoothed base rate.
     """
     n = len(rows)
     base = (float(labels.sum()) + 0.5) / (n + 1.0)
@@ -98,12 +127,15 @@ def fit(
     seen = np.bincount(flat, minlength=1 << BITS).astype(np.float64)
     toxic = np.bincount(flat, weights=np.repeat(labels, np.diff(ptr)), minlength=1 << BITS) if n else seen
     off = np.abs(toxic - base * seen) / np.sqrt(np.maximum(base * (1 - base) * seen, 1e-9))
-    kept = np.flatnonzero((seen >= least) & (off >= z)).astype(np.int32)
+    alone = (seen >= least) & (off >= z)
+    if n and labels.min() != labels.max():
+        alone[pair_terms(flat, ptr, labels, seen, toxic, pair_z, paired)] = True
+    kept = np.flatnonzero(alone).astype(np.int32)
     bias = float(np.log(base / (1 - base)))
     gen = np.random.default_rng(seed)
     w, v = np.zeros(len(kept)), gen.normal(0, 0.01, (len(kept), factors))
     if not len(kept) or labels.min() == labels.max():
-        return Machine(kept, bias, w, v * 0)
+        return Machine(kept[:0], bias, w[:0], v[:0])
     table = np.full(1 << BITS, -1, dtype=np.int32)
     table[kept] = np.arange(len(kept))
     at = table[flat]
@@ -170,6 +202,7 @@ def score(df: DataFrame, machine: Machine, text_col: str = "text", keep: list[st
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts get the bias alone, a null id is not held out, repeated rows score alike."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     machine = train(docs, read(spark, sf_dir, "labels"))
     return score(docs, machine, keep=["doc_id"]).select(

@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
-from rangeloom.llm import mixing, packing, pii, quality, secrets, sharding, toxicity
+from rangeloom.llm import mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
 
 TEXTS = [
     None, "", " ", "plain words here", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "PassWord: 'short' passwd=longer1",
@@ -219,3 +220,70 @@ def test_toxicity_edges(spark, docs_of):
     none = toxicity.train(docs, labels.limit(0))
     assert len({r.score for r in toxicity.score(docs, none).collect()}) == 1
     assert toxicity.score(docs.limit(0), machine).count() == 0
+
+
+def test_score_is_the_sum_over_pairs():
+    rows = toxic_rows(1500, 4)
+    machine = toxicity.fit([toxicity.terms(t) for _, t, _ in rows], np.array([y for *_, y in rows], dtype=float))
+    at = {int(k): i for i, k in enumerate(machine.kept)}
+    texts = [t for _, t, _ in rows[:50]] + [None, "", "insultword", "unknown"]
+    for t, p in zip(texts, machine.score(texts)):
+        own = [at[int(k)] for k in toxicity.terms(t) if int(k) in at]
+        y = machine.bias + sum(machine.w[i] for i in own)
+        y += sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(own) for j in own[:n])
+        assert abs(p - 1 / (1 + np.exp(-np.clip(y, -30, 30)))) < 1e-9
+
+
+def test_words_that_tell_only_together():
+    """Toxic is one of two words without the other: neither has an effect of its own."""
+
+    def made(n, seed):
+        out = []
+        for i, t, _ in toxic_rows(n, seed):
+            a, b = "insultword" in t.split(), "groupname" in t.split()
+            out.append((t, float(a != b)))
+        return out
+
+    gen = random.Random(11)
+    rows = made(4000, 11)
+    for _ in range(3):  # no word of the two is off the base rate by itself
+        gen.shuffle(rows)
+    machine = toxicity.fit([toxicity.terms(t) for t, _ in rows[:3400]], np.array([y for _, y in rows[:3400]]))
+    p = machine.score([t for t, _ in rows[3400:]])
+    assert ((p >= 0.5) == np.array([y > 0 for _, y in rows[3400:]])).mean() > 0.95
+
+
+def plain_table(names, size):
+    """Whole permutations, taken in turns."""
+    number = lambda name, salt: int.from_bytes(hashlib.sha256(f"{salt}:{name}".encode()).digest()[:8], "big")
+    wishes = {s: [(number(s, "offset") % size + k * (1 + number(s, "skip") % (size - 1))) % size for k in range(size)] for s in names}
+    assert all(sorted(w) == list(range(size)) for w in wishes.values())
+    owner = {}
+    while len(owner) < size:
+        for s in sorted(names):
+            free = [x for x in wishes[s] if x not in owner]
+            if free:
+                owner[free[0]] = s
+    return [owner[i] for i in range(size)]
+
+
+def test_sharding_is_the_plain_one(spark, docs_of):
+    names = ["b", "a", "shard-10", "shard-9", "é"]
+    table = plain_table(names, 211)
+    assert [names[i] for i in sharding.lookup_table(names, 211)] == table
+    rows = [(i, "t") for i in [*range(300), None, 7, -5]]
+    for r in sharding.shard(docs_of(rows), "doc_id", names, 211).collect():
+        raw = b"null" if r.doc_id is None else f"k{r.doc_id}".encode()
+        slot = (xxhash.xxh64_intdigest(raw, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+        assert (r.slot, r.shard) == (slot % 211, table[slot % 211])
+
+
+def test_columns_with_any_name(spark):
+    """Helper columns never clash with the input's."""
+    names = ["text", "__text", "__slot", "__place", "__words", "__lines", "__from", "__source", "__rate", "__cdf", "__replica", "__group", "__id", "__Text"]
+    extra = [n for n in names if n != "text" and n != "__Text"]
+    df = spark.createDataFrame([(i, "some text of words here", "s", 10, *["x"] * len(extra)) for i in range(6)], f"doc_id long, text string, source string, n_chars int, {', '.join(f'{n} string' for n in extra)}")
+    for made in (pii.scan(df), secrets.scan(df), quality.quality(df), mixing.mix(df), sharding.shard(df, "doc_id", ["a", "b"], 101), pii.redact(df), simhash.representatives(spark, df)):
+        assert set(extra) <= set(made.columns)
+        assert all(r[n] == "x" for r in made.collect() for n in extra)
+    assert packing.pack(df).count() == 6
