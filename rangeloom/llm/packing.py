@@ -318,35 +318,32 @@ def best_fit(lengths: np.ndarray, cap: Capacity, alike: np.ndarray | None = None
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: Capacity = Capacity(), path: str | None = None, group: int = GROUP,
-    copy_col: str | None = None,
+    apart: bool = False,
 ) -> DataFrame:
-    """A row for each piece: id_col[, copy_col], piece, start, length, ids_crc32, sequence_id, offset.
+    """A row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end token alone.  Repeated rows are packed each.  Documents over the
     capacity are cut, others never.  A piece as long as a sequence is one by itself.  The others are
     dealt by a hash into groups of about `group` pieces, each packed on its own: the hash of (id,
     piece) also spreads a very long document, and a group leaves one sequence part-filled at most.
-    copy_col numbers copies of a document: they go to groups side by side, and two of one piece never
-    share a sequence.  Only ids and lengths are written and shuffled.  Other columns are not read.
+    With apart, rows of one id and piece never share a sequence, as copies of a document shouldn't.  Only ids and lengths are written and shuffled.  Other columns are not read.
     """
     scratch = Scratch(df.sparkSession)
     size = min(cap.tokens, int(cap.attention**0.5))
-    keys = [id_col, *([copy_col] if copy_col else [])]
-    made = scratch.write(pieces(df, keys, text_col, size, path))
+    made = scratch.write(pieces(df, [id_col], text_col, size, path))
     full = F.col("length") == cap.tokens
     rest = made.filter(~full)
     groups = max(1, -(-rest.count() // group))
     g = free_name(made.columns, "group")
-    copy = F.coalesce(F.col(f"`{copy_col}`").cast("long"), F.lit(0)) if copy_col else F.lit(0)
-    rest = rest.withColumn(g, F.pmod(F.xxhash64(f"`{id_col}`", "piece") + copy, F.lit(groups)).cast("long"))
+    rest = rest.withColumn(g, F.pmod(F.xxhash64(f"`{id_col}`", "piece"), F.lit(groups)).cast("long"))
     places = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     schema = T.StructType([*made.schema.fields, *places])
-    by = [("length", "descending"), *[(c, "ascending") for c in (id_col, "piece", *keys[1:], "ids_crc32")]]
+    by = [("length", "descending"), *[(c, "ascending") for c in (id_col, "piece", "ids_crc32")]]
 
     def run(table: pa.Table) -> pa.Table:
         base = table.column(g)[0].as_py() << 32
         table = table.drop_columns([g]).sort_by(by)
-        alike = list(zip(table.column(id_col).to_pylist(), table.column("piece").to_pylist())) if copy_col else None
+        alike = list(zip(table.column(id_col).to_pylist(), table.column("piece").to_pylist())) if apart else None
         where, offset = best_fit(table.column("length").to_numpy(), cap, alike)
         return table.append_column("sequence_id", pa.array(base + where)).append_column("offset", pa.array(offset))
 

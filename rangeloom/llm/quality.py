@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, read
 
 #: The white space that ends a word, and the symbols that count.
 SPACE = r"\x20\x09-\x0D"
@@ -87,23 +87,22 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     replaced; repeated rows are measured each.  Everything is a built-in expression.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = df.withColumn("__text", text)
-    bare = F.regexp_replace("__text", f"[{SPACE}]+", " ")
-    out = out.withColumn("__words", F.filter(F.split(bare, " "), lambda w: w != ""))
-    out = out.withColumn(
-        "__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    )
+    t, words, lines = (free_name(df.columns, n) for n in ("text", "words", "lines"))
+    out = df.withColumn(t, text)
+    bare = F.regexp_replace(t, f"[{SPACE}]+", " ")
+    out = out.withColumn(words, F.filter(F.split(bare, " "), lambda w: w != ""))
+    out = out.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     return (
-        out.withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate("__text", " \t\n\x0b\f\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("n_repeat_words", _repeat_words(F.col("__words")))
+        out.withColumn("n_words", F.size(words).cast("long"))
+        .withColumn("word_chars", F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"))
+        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
+        .withColumn("n_lines", F.size(lines).cast("long"))
+        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
+        .withColumn("n_repeat_words", _repeat_words(F.col(words)))
         .withColumn(
-            "n_stop_words", F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long")
+            "n_stop_words", F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long")
         )
-        .drop("__text", "__words", "__lines")
+        .drop(t, words, lines)
     )
 
 
@@ -131,6 +130,7 @@ def quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and verdict of every document; a null or empty text has no words and fails, repeated rows are measured each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, read
 
 #: A prime; the table has this many slots however many rows there are, so its broadcast is bounded.
 TABLE_SIZE = 65_537
@@ -64,13 +64,14 @@ def shard(
     """
     owner = lookup_table(shards, size)
     spark = df.sparkSession
+    slot, place = free_name(df.columns, "slot"), free_name(df.columns, "place")
     rows = [(i, shards[k]) for i, k in enumerate(owner.tolist())]
-    table = spark.createDataFrame(rows, "__slot int, __shard string")
+    table = spark.createDataFrame(rows, f"{slot} int, {place} string")
     hashed = F.xxhash64(F.coalesce(F.concat(F.lit("k"), F.col(f"`{key_col}`").cast("string")), F.lit("null")))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
-    out = df.withColumn("__slot", F.pmod(hashed, F.lit(size)).cast("int"))
-    return out.join(F.broadcast(table), "__slot").select(
-        *kept, F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col)
+    out = df.withColumn(slot, F.pmod(hashed, F.lit(size)).cast("int"))
+    return out.join(F.broadcast(table), slot).select(
+        *kept, F.col(slot).alias(slot_col), F.col(place).alias(shard_col)
     )
 
 
@@ -79,5 +80,6 @@ SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and shard of each document's id; repeated rows share one, an empty table gives none."""
     docs = read(spark, sf_dir, "documents").select("doc_id")
     return shard(docs, "doc_id", SHARDS)
