@@ -70,7 +70,7 @@ def resolve_within(root: Column, path: Column) -> Column:
     r, norm = _root(root), F.translate(path, "\\", "/")
     absolute = norm.startswith("/")
     fold = F.aggregate(
-        F.filter(F.split(F.concat(r, F.lit("/"), norm), "/"), lambda x: (x != "") & (x != ".")),
+        F.filter(F.split(F.when(absolute, norm).otherwise(F.concat(r, F.lit("/"), norm)), "/"), lambda x: (x != "") & (x != ".")),
         F.array().cast("array<string>"),
         lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
@@ -79,7 +79,6 @@ def resolve_within(root: Column, path: Column) -> Column:
     return (
         F.when(absolute & root.isNull(), norm)
         .when(root.isNull(), F.lit(None))
-        .when(absolute, F.when(inside(norm), norm))
         .otherwise(F.when(inside(joined), joined))
     )
 

@@ -435,13 +435,49 @@ def categorize_nodes(spark, sf):
     return nodes.categorize(n, types).select("file_id", "node_seq", "category")
 
 
-@query()
+#: What the lines hold, by the rules of fallback_nodes: nodes in order of line and k, names as a step has them.
+_NODES = f"""{_L}, n AS (SELECT file_id, line_no, p, x.k AS k, x.c AS category, x.t AS text, x.v AS name FROM l, LATERAL (
+  SELECT unnest(CASE m WHEN 0 THEN [{{'k': 0, 'c': 'function', 't': 'work_' || p, 'v': 'work_' || p}}, {{'k': 1, 'c': 'call', 't': 'work_' || p || '(…)', 'v': 'work_' || p}}]
+  WHEN 1 THEN [{{'k': 0, 'c': 'declaration', 't': 'value_' || p || ' = …', 'v': 'value_' || p}}]
+  WHEN 2 THEN [{{'k': 0, 'c': 'assignment', 't': 'total_' || p || ' = …', 'v': 'total_' || p}}, {{'k': 1, 'c': 'call', 't': 'call_' || p || '(…)', 'v': 'call_' || p}}]
+  WHEN 3 THEN [{{'k': 0, 'c': 'control', 't': 'if check_' || p || '(x) {{', 'v': 'if'}}, {{'k': 1, 'c': 'call', 't': 'check_' || p || '(…)', 'v': 'check_' || p}}]
+  WHEN 4 THEN [{{'k': 0, 'c': 'call', 't': 'obj.run_' || p || '(…)', 'v': 'obj.run_' || p}}] ELSE [] END) AS x)),
+v AS (SELECT *, CASE WHEN m IN (0, 6) THEN 0 ELSE 4 END AS deep FROM l WHERE m <> 5),
+d AS (SELECT file_id, line_no AS a, 'work_' || p AS name FROM v WHERE m = 0),
+stop AS (SELECT d.file_id, a, name, min(v.line_no) AS stop FROM d LEFT JOIN v ON v.file_id = d.file_id AND v.line_no > a AND deep = 0 GROUP BY d.file_id, a, name),
+scopes AS (SELECT s.file_id, a, name, max(v.line_no) AS z FROM stop s JOIN v ON v.file_id = s.file_id AND v.line_no >= a AND v.line_no < coalesce(stop, 1000000) GROUP BY s.file_id, a, name),
+scoped AS (SELECT l.file_id, l.line_no, min(s.a) AS a, arg_min(s.name, s.a) AS scope_name, arg_min(s.z, s.a) AS z FROM l JOIN scopes s ON s.file_id = l.file_id AND l.line_no BETWEEN s.a AND s.z GROUP BY l.file_id, l.line_no)"""
+
+#: Diffs, their hunks with lines, and the files that are looked at; src is a file's lines.
+_DIFFS = f"""{H}, hh AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY hunk_seq) - 1 AS hunk_seq, s, e - 1 AS e FROM h WHERE e > s),
+c AS (SELECT file_id, sum(e - s + 1) AS changed, string_agg(CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '-' || e END, ', ' ORDER BY hunk_seq) AS label FROM hh GROUP BY file_id),
+f AS (SELECT o_custkey AS diff_id, o_orderkey AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS file_seq, 'src/' || o_orderkey || '.rs' AS path,
+  ['M', 'A', 'D', 'R'][o_orderkey % 4 + 1] AS status, coalesce(changed, 0) AS changed, coalesce(label, '') AS label FROM orders LEFT JOIN c ON file_id = o_orderkey),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY changed DESC, file_seq) - 1 AS file_rank FROM f) WHERE file_rank < 12),
+src AS (SELECT file_id, line_no, count(*) OVER (PARTITION BY file_id) AS n, CASE m WHEN 0 THEN 'fn work_' || p || '(a: u32) {{' WHEN 1 THEN '    let value_' || p || ' = ' || p || ';'
+  WHEN 2 THEN '    total_' || p || ' += call_' || p || '(1);' WHEN 3 THEN '    if check_' || p || '(x) {{' WHEN 4 THEN '    self.skip(obj.run_' || p || '());' WHEN 5 THEN '' ELSE '}}' END AS line FROM l)""".replace("{{", "{").replace("}}", "}")
+
+_PLANNED = f"""{_NODES}, {_DIFFS},
+p AS (SELECT k.diff_id, k.file_rank, k.path, k.file_id, hunk_seq, n.line_no, n.category, n.name, n.text, row_number() OVER (PARTITION BY k.diff_id, file_rank, hunk_seq ORDER BY n.line_no, n.k) - 1 AS r
+  FROM k JOIN hh ON hh.file_id = k.file_id JOIN n ON n.file_id = k.file_id AND n.line_no BETWEEN s AND e AND category <> 'function'),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, file_rank, line_no ORDER BY hunk_seq, r) AS o FROM p WHERE r < 6) WHERE o = 1),
+steps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY file_rank, hunk_seq, r) - 1 AS step_seq FROM u) WHERE step_seq < 12)"""
+
+
+@query(f"""WITH {_PLANNED} SELECT diff_id, CAST(step_seq AS INT) AS step_seq, path, line_no AS start_line, category,
+  CASE category WHEN 'declaration' THEN 'Init ' WHEN 'assignment' THEN 'Mutate ' WHEN 'call' THEN 'Call ' ELSE 'Validate ' END || name AS title, scope_name,
+  CASE category WHEN 'declaration' THEN 'init' WHEN 'assignment' THEN 'mutate' WHEN 'call' THEN 'pass' ELSE 'validate' END AS action,
+  CASE WHEN category = 'control' THEN 'a check among the changed lines' END AS security_note FROM steps LEFT JOIN scoped USING (file_id, line_no)""")
 def local_plan_steps(spark, sf):
     files = diff.parse(diff_texts(spark, sf)).withColumn("path", F.regexp_replace("path", "f ", ""))
     return local.local_plan(files, code_files(spark, sf))[0].select("diff_id", "step_seq", "path", "start_line", "category", "title", "scope_name", "action", "security_note")
 
 
-@query()
+@query(f"""WITH {_PLANNED}, w AS (SELECT diff_id, file_rank, count(*) AS c FROM u GROUP BY diff_id, file_rank),
+b AS (SELECT k.diff_id, k.file_rank, coalesce(sum(c) OVER (PARTITION BY k.diff_id ORDER BY k.file_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k LEFT JOIN w USING (diff_id, file_rank)),
+t AS (SELECT diff_id, count(*) AS total_files FROM f GROUP BY diff_id), g AS (SELECT diff_id, count(*) FILTER (WHERE before < 12) AS covered FROM b GROUP BY diff_id),
+x AS (SELECT diff_id, count(*) AS total_steps, arg_min(path, step_seq) AS entry_point FROM steps GROUP BY diff_id)
+SELECT diff_id, total_files, covered, coalesce(total_steps, 0) AS total_steps, entry_point, CASE WHEN total_steps > 0 THEN 'ok' ELSE 'empty' END AS status FROM t JOIN g USING (diff_id) LEFT JOIN x USING (diff_id)""")
 def local_plans(spark, sf):
     files = diff.parse(diff_texts(spark, sf)).withColumn("path", F.regexp_replace("path", "f ", ""))
     return local.local_plan(files, code_files(spark, sf))[1]
@@ -452,7 +488,18 @@ def _context(spark, sf):
     return local.diff_context(files, code_files(spark, sf))
 
 
-@query()
+#: Windows are the runs of the lines that a hunk and its context cover.
+_CONTEXT = f"""{_NODES}, {_DIFFS}, cov AS (SELECT DISTINCT src.file_id, line_no, line FROM src JOIN hh ON hh.file_id = src.file_id AND line_no BETWEEN s - 6 AND e + 6),
+run AS (SELECT *, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS g FROM cov), win AS (SELECT file_id, g, max(line_no) AS z FROM run GROUP BY file_id, g),
+one AS (SELECT file_id, g, string_agg(lpad(CAST(line_no AS VARCHAR), CAST(length(CAST(z AS VARCHAR)) AS INT), ' ') || '│ ' || line, chr(10) ORDER BY line_no) AS t FROM run JOIN win USING (file_id, g) GROUP BY file_id, g),
+sn AS (SELECT file_id, string_agg(t, chr(10) || '⋯' || chr(10) ORDER BY g) AS snippet FROM one GROUP BY file_id),
+near AS (SELECT DISTINCT n.* FROM n JOIN hh ON hh.file_id = n.file_id AND line_no BETWEEN s - 3 AND e + 3),
+sy AS (SELECT file_id, string_agg('- L' || line_no || ' ' || category || ': ' || text, chr(10) ORDER BY line_no, k) AS symbols FROM near GROUP BY file_id),
+x AS (SELECT diff_id, CAST(file_seq AS INT) AS file_seq, CAST(file_rank AS INT) AS file_rank, path, status, CAST(changed AS BIGINT) AS changed, label AS changed_lines, coalesce(snippet, '') AS snippet, coalesce(symbols, '') AS symbols, 'rust' AS language
+  FROM k LEFT JOIN sn USING (file_id) LEFT JOIN sy USING (file_id) WHERE file_id IN (SELECT file_id FROM l))"""
+
+
+@query(f"WITH {_CONTEXT} SELECT * FROM x")
 def diff_context_files(spark, sf):
     return _context(spark, sf)[0]
 
@@ -464,11 +511,66 @@ def diff_context_requests(spark, sf):
     return _context(spark, sf)[1].select("diff_id", "total", "included")
 
 
-@query()
+@query(f"""WITH {_CONTEXT}, y AS (SELECT diff_id, file_seq, changed, length('### ' || path || ' (' || status || ')' || chr(10) || CASE WHEN changed_lines <> '' THEN 'Changed lines: ' || changed_lines || chr(10) ELSE '' END
+  || chr(10) || '```' || chr(10) || snippet || chr(10) || '```' || chr(10) || CASE WHEN symbols <> '' THEN chr(10) || 'AST symbols:' || chr(10) || symbols || chr(10) ELSE '' END) AS block_chars FROM x)
+SELECT diff_id, file_seq, CAST(block_chars AS BIGINT) AS block_chars, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY changed DESC, file_seq) - 1 AS INT) AS place, TRUE AS included FROM y""")
 def prompt_files(spark, sf):
     return validation.prompt_files(_context(spark, sf)[0])
 
 
+@query(f"""WITH {_NODES}, {_DIFFS}, r AS (SELECT l.file_id, max(l.line_no) AS n FROM l GROUP BY l.file_id),
+q AS (SELECT r.file_id, n, scope_name, least(coalesce(a, 2), 2) AS "start", least(n, greatest(coalesce(z, 3), 3)) AS "end" FROM r LEFT JOIN scoped ON scoped.file_id = r.file_id AND scoped.line_no = 2),
+sn AS (SELECT q.file_id, string_agg(lpad(CAST(line_no AS VARCHAR), CAST(length(CAST("end" AS VARCHAR)) AS INT), ' ') || '│ ' || line, chr(10) ORDER BY line_no) AS snippet FROM q JOIN src ON src.file_id = q.file_id AND line_no BETWEEN "start" AND "end" GROUP BY q.file_id),
+sy AS (SELECT q.file_id, string_agg('- L' || line_no || ' ' || category || ': ' || text, chr(10) ORDER BY line_no, k) AS symbols FROM q JOIN n ON n.file_id = q.file_id AND line_no >= "start" AND line_no <= "end" + 1 GROUP BY q.file_id)
+SELECT file_id, 'src/' || file_id || '.rs' AS path, scope_name, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", coalesce(snippet, '') AS snippet, coalesce(symbols, '') AS symbols, 'rust' AS language FROM q LEFT JOIN sn USING (file_id) LEFT JOIN sy USING (file_id)""")
+def selection_contexts(spark, sf):
+    """Lines 2 and 3 of every file are selected."""
+    lines = F.struct(F.lit(2).cast("long").alias("start_line"), F.lit(1).cast("long").alias("start_col"), F.lit(3).cast("long").alias("end_line"), F.lit(1).cast("long").alias("end_col"))
+    return local.selection_context(code_files(spark, sf).withColumn("range", lines))
+
+
+@query(f"""WITH {_NODES} SELECT l.file_id, l.line_no AS line, scope_name, a AS scope_start, z AS scope_end FROM l LEFT JOIN scoped USING (file_id, line_no)""")
+def first_declared_scope(spark, sf):
+    """The line-based scope of every line: of those about it the one declared first."""
+    files = code_files(spark, sf)
+    points = nodes.source_lines(files).select("file_id", F.col("line_no").alias("line"), F.concat_ws("|", F.col("file_id").cast("string"), F.col("line_no").cast("string")).alias("point"))
+    none = nodes.fallback_scopes(files).limit(0).select("file_id", F.col("scope_seq").alias("seq"), "name", "start_line", "end_line", F.lit(0).cast("long").alias("end_col"))
+    return nodes.enclosing_scope(points, none, nodes.fallback_scopes(files), "file_id", "point").select("file_id", "line", "scope_name", "scope_start", "scope_end")
+
+
+@query(f"""WITH {_NODES} SELECT file_id, line_no AS start_line, category, text, TRUE AS fallback FROM n WHERE file_id % 3 <> 0 OR file_id % 5 = 0
+UNION ALL SELECT DISTINCT file_id, CAST(1 AS BIGINT), 'call', 'given', FALSE FROM l WHERE file_id % 3 = 0 AND file_id % 5 <> 0""")
+def supplied_or_line_rules(spark, sf):
+    """Every third file has supplied nodes, but every fifth is in no known language."""
+    k = F.col("file_id")
+    files = code_files(spark, sf).withColumn("path", F.when(k % 5 == 0, "src/x.zig").otherwise(F.col("path")))
+    one = F.lit(1).cast("long")
+    supplied = files.filter(k % 3 == 0).select("file_id", F.lit(0).cast("long").alias("node_seq"), F.lit("call").alias("category"), F.lit("call_expression").alias("type"), F.lit("given").alias("text"), *[one.alias(c) for c in ("start_line", "start_col", "end_line", "end_col")])
+    return nodes.parsed_or_fallback(files, supplied).select("file_id", "start_line", "category", "text", "fallback")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS plan_id, l_partkey % 5 AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS q FROM lineitem)
+SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY q) - 1 AS step_seq, 'src/' || x AS file_path FROM s WHERE x = plan_id % 5 OR x = (plan_id + 1) % 5""")
+def contained_steps(spark, sf):
+    """Two of five paths are allowed in each plan."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    path = lambda c: F.concat(F.lit("src/"), (c % 5).cast("string"))
+    steps = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("plan_id"), (F.row_number().over(order) - 1).cast("long").alias("step_seq"), path(F.col("l_partkey")).alias("file_path"))
+    k = F.col("o_orderkey")
+    allowed = _read(spark, sf, "orders").select(k.alias("plan_id"), F.explode(F.array(path(k), path(k + 1))).alias("path"))
+    return validation.contained(steps, allowed).select("plan_id", "step_seq", "file_path")
+
+
+@query("""WITH d AS (SELECT 'doc/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, doc_id, text FROM documents ORDER BY path LIMIT 50)
+SELECT path, 'A' AS status, CAST(greatest(1, len(string_split(regexp_replace(text, '\n$', ''), chr(10)))) AS INT) AS n_lines FROM d WHERE doc_id % 7 <> 3 AND text IS NOT NULL AND strlen(text) <= 2000000""")
+def untracked_files(spark, sf):
+    """Of the first fifty paths those that are text: every seventh holds a zero byte."""
+    d = _read(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("\0"), "text")).otherwise(F.col("text"))
+    files = d.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode(text, "UTF-8").alias("content"))
+    return diff.untracked(files).select("path", "status", F.col("hunks")[0]["new_count"].alias("n_lines"))
+
+
 # JSON.
 
 
