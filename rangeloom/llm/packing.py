@@ -21,7 +21,7 @@ END = 2
 #: Pieces that a task packs together; more tasks, not larger ones, take a larger input.
 GROUP = 4096
 #: Bytes of text that are encoded at once, one whole text at least.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Fixed value: where the byte-level pre-tokenizer breaks a text.
 BREAKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than a blank and a line end, and signs that some take for it.

@@ -101,7 +101,8 @@ def pair_terms(flat: np.ndarray, ptr: np.ndarray, labels: np.ndarray, seen: np.n
     at = place[flat]
     inside = at >= 0
     x[np.repeat(np.arange(n), np.diff(ptr))[inside], at[inside]] = 1.0
-    both, bad = x.T @ x, x.T @ (x * labels[:, None].astype(np.float32))
+    both, worst = x.T @ x, x[labels > 0.5]
+    bad = worst.T @ worst
     share = ((toxic[top] + 0.5) / (seen[top] + 1.0))[:, None]
     spread = share * (1 - share) * both * np.maximum(1 - both / seen[top][:, None], 1e-9)
     off = np.abs(bad - share * both) / np.sqrt(np.maximum(spread, 0.25))
