@@ -106,13 +106,18 @@ def fallback_scopes(files: DataFrame, key: str = "file_id", text: str = "text")
     """
     lines = source_lines(files, key, text).withColumn("indent", indent_of(F.col("line"))).filter(trim(F.col("line")) != "")
     order = Window.partitionBy(key).orderBy("line_no")
-    lines = lines.withColumn("before", F.lag("line_no").over(order))
-    decls = lines.withColumn("name", declared_name(F.col("line"))).filter("name IS NOT NULL").select(F.col(key).alias("__k"), "name", F.col("line_no").alias("d"), F.col("indent").alias("deep"))
-    later = lines.select(key, "line_no", "indent", "before")
-    stop = decls.join(later, (F.col(key) == F.col("__k")) & (F.col("line_no") > F.col("d")), "left")
-    ends = stop.groupBy("__k", "d", "name").agg(F.min_by("before", F.when(F.col("indent") <= F.col("deep"), F.col("line_no"))).alias("cut"), F.max("line_no").alias("last"))
-    rank = Window.partitionBy("__k").orderBy("d")
-    return ends.select(F.col("__k").alias(key), (F.row_number().over(rank) - 1).cast("long").alias("scope_seq"), "name", F.col("d").alias("start_line"), F.coalesce("cut", "last", "d").alias("end_line"))
+    lines = lines.withColumn("before", F.lag("line_no").over(order)).withColumn("name", declared_name(F.col("line"))).drop("line")
+    # a file's declarations stand at few depths; for each of them, one pass from the last line up
+    deep = lines.filter("name IS NOT NULL").select(key, F.col("indent").alias("deep")).distinct()
+    upwards = Window.partitionBy(key, "deep").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.min(F.when(F.col("indent") <= F.col("deep"), F.struct("line_no", "before"))).over(upwards)
+    rows = lines.join(deep, key).withColumn("cut", stop["before"]).withColumn("last", F.max("line_no").over(upwards))
+    ends = rows.filter(F.col("name").isNotNull() & (F.col("indent") == F.col("deep")))
+    rank = Window.partitionBy(key).orderBy("line_no")
+    return ends.select(
+        F.col(key), (F.row_number().over(rank) - 1).cast("long").alias("scope_seq"), "name", F.col("line_no").alias("start_line"),
+        F.coalesce("cut", "last", "line_no").alias("end_line"),
+    )
 
 
 #: Where a node type is in several sets, the earlier category counts.

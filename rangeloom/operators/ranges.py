@@ -187,15 +187,11 @@ def snap(targets: DataFrame, nodes: DataFrame, key: str, target_id: str, extra:
     line = F.floor((F.col("__r.start_line") + F.col("__r.end_line")) / 2)
     col = F.floor((F.col("__r.start_col") + F.col("__r.end_col")) / 2)
     middle = F.struct(line.alias("start_line"), col.alias("start_col"), line.alias("end_line"), col.alias("end_col"))
-    about = contains(F.col("__n"), middle)
-    pairs = base.select(key, target_id, "__r").join(
-        near, (F.col(key) == F.col("__k")) & (span_of(F.col("__n")) <= span_of(F.col("__r")) + extra) & about
-    )
+    about, whole = contains(F.col("__n"), middle), contains(F.col("__n"), F.col("__r"))
+    pairs = base.select(key, target_id, "__r").join(near, (F.col(key) == F.col("__k")) & (span_of(F.col("__n")) <= span_of(F.col("__r")) + extra) & (about | whole))
     rank = F.struct(span_of(F.col("__n")), F.col("__seq"))
-    best = pairs.groupBy(F.col(target_id).alias("__t")).agg(F.min_by("__n", rank).alias("__best"))
-    wide = base.select(key, target_id, "__r").join(near, (F.col(key) == F.col("__k")) & (span_of(F.col("__n")) <= span_of(F.col("__r")) + extra) & contains(F.col("__n"), F.col("__r")))
-    inner = wide.groupBy(F.col(target_id).alias("__u")).agg(F.min_by("__n", rank).alias("__inner"))
-    out = base.join(best, F.col(target_id) == F.col("__t"), "left").join(inner, F.col(target_id) == F.col("__u"), "left")
+    best = pairs.groupBy(F.col(target_id).alias("__t")).agg(F.min_by("__n", F.when(about, rank)).alias("__best"), F.min_by("__n", F.when(whole, rank)).alias("__inner"))
+    out = base.join(best, F.col(target_id) == F.col("__t"), "left")
     r = F.col("__r")
     text = lambda at: F.coalesce(F.get("lines", (at - 1).cast("int")), F.lit(""))
     first, last = text(r["start_line"]), text(r["end_line"])
@@ -207,7 +203,7 @@ def snap(targets: DataFrame, nodes: DataFrame, key: str, target_id: str, extra:
     )
     trimmed = F.when((trim(first) == "") & (trim(last) == ""), r).otherwise(cut)
     node = F.coalesce("__inner", "__best")
-    return out.withColumn("snapped", F.when(node.isNotNull(), clamp_to(F.col("lines"), node)).otherwise(trimmed)).drop("__r", "__t", "__u", "__best", "__inner")
+    return out.withColumn("snapped", F.when(node.isNotNull(), clamp_to(F.col("lines"), node)).otherwise(trimmed)).drop("__r", "__t", "__best", "__inner")
 
 
 def dimmed(start: Column, end: Column, line_count: Column) -> Column:
