@@ -15,6 +15,7 @@ _CHECK = "(?i)require|assert|revert|ensure|check|verify|guard|panic|unwrap!"
 
 def name_in(category: Column, text: Column) -> Column:
     """The variable or callee that a node is about; null for none."""
+    # fixed values: the patterns of what is assigned, declared or called
     t = trim(text)
     got = lambda p: F.when(t.rlike(p), F.regexp_extract(t, p, 1))
     target = F.coalesce(got(r"^([A-Za-z_][\w.$]*)\s*(?::[^=]+)?="), got(r"^([A-Za-z_][\w.$]*)\s*(?:\+=|-=|\*=|/=)"))
@@ -34,6 +35,7 @@ def described(steps: DataFrame) -> DataFrame:
     """Steps (category, text, scope_name) with variable, title, explanation and security_note."""
     c, text = F.col("category"), F.col("text")
     name = name_in(c, text)
+    # fixed values: actions and verbs by category
     action = _by_category(c, {"declaration": "init", "assignment": "mutate", "call": "pass", "security": "validate", "control": "validate"})
     about = F.when(name.isNotNull() & action.isNotNull(), name)
     label = F.coalesce(about, compact(text))
