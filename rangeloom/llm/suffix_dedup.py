@@ -11,6 +11,10 @@ only the suffixes whose order is in doubt:
    bytes are brought together by anchor, and the difference-cover algorithm (sort sampled triples,
    recurse on names, merge the remaining suffixes) orders their suffixes; adjacent ones are compared
    on their first 100 bytes, and of equal ones only the earliest stays.
+
+An anchor with more rims than a sort takes is split.  Its windows fall into classes by the place of the
+anchor in them; the windows of a class share a core, longer than the anchor, which becomes their anchor.
+Classes narrow till few rims have one core; those of one place have the whole window as their core.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ from .common import Scratch, read
 LENGTH = 100
 #: Bytes of an anchor; LENGTH - ANCHOR + 1 anchors compete in a window.
 ANCHOR = 32
-#: Bytes that one suffix sort takes, contexts of one anchor that it may get, and bytes hashed at once.
-SORT_BYTES, MOST_CONTEXTS, SEGMENT = 1 << 20, 4096, 1 << 20
+#: Bytes that one suffix sort takes, contexts of one anchor that it gets at most (more are split), bytes
+#: hashed at once, and bytes of rims that a task sorts, 1 MB after another (more, where tasks would be over MOST_TASKS).
+SORT_BYTES, MOST_CONTEXTS, SEGMENT, TASK_BYTES, MOST_TASKS = 1 << 20, 4096, 1 << 20, 8 << 20, 100_000
 
 _LOW = np.uint64((1 << 24) - 1)
 _MUL = 0x9E3779B97F4A7C15 | 1
@@ -75,28 +80,43 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(anchor hash, context hash, first window, windows) of the contexts in data, texts end to end."""
+def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, width: int | None = None):
+    """(core hash, context hash, first window, windows) of the contexts in data, texts end to end.
+
+    A context is a run of windows with one anchor and one class, `width` neighbouring places of the
+    anchor in its window.  Its core is what all windows of the class hold: the anchor, if one class
+    takes all places (the default), and the whole window, if a class takes one.
+    """
+    places = length - anchor + 1
+    width = width or places
     if len(data) < length:
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     roll = Rolling(data)
     grams = _mixed(roll.of(anchor))
     whole = roll.of(length)
     place = np.arange(len(grams), dtype=np.uint64)
-    best = _least((grams & ~_LOW) | place, length - anchor + 1)
+    best = _least((grams & ~_LOW) | place, places)
     starts = np.concatenate([[0], ends[:-1]])
     last = np.repeat(ends, ends - starts)[: len(best)] - length
     window = np.flatnonzero(np.arange(len(best)) <= last)
     if not len(window):
         return contexts(data[:0], ends[:0], length, anchor)
     at = (best[window] & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    band = (at - window) // width
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (band[1:] != band[:-1])]))
     inside = _mixed(whole[window] + (window - at + 1024).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     total = np.add.reduceat(inside, first)
-    return grams[at[first]], total, window[first], np.diff(np.append(first, len(window)))
+    low = band[first] * width
+    cores = length - np.minimum(width, places - low) + 1
+    core = np.empty(len(first), dtype=np.uint64)
+    for size in np.unique(cores).tolist():
+        which = np.flatnonzero(cores == size)
+        core[which] = _mixed(roll.of(size)[at[first[which]] - low[which]] + band[first[which]].astype(np.uint64))
+    return core, total, window[first], np.diff(np.append(first, len(window)))
 
 
 _ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("akey", "ckey", "doc", "loc")])
+_ROW_RAW = T.StructType([*_ROW.fields, T.StructField("raw", T.BinaryType())])
 #: loc holds the place of the first window, the number of windows, and whether they are settled repeats.
 
 
@@ -107,16 +127,19 @@ def _loc(place: np.ndarray, count: np.ndarray, kind: int) -> np.ndarray:
 OPEN, REPEAT, RIM = 0, 1, 2
 
 
-def _batch(akey, ckey, doc, loc) -> pa.RecordBatch:
+def _batch(akey, ckey, doc, loc, raw=None) -> pa.RecordBatch:
     arrays = [pa.array(np.asarray(x).astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in (akey, ckey, doc, loc)]
-    return pa.RecordBatch.from_arrays(arrays, names=_ROW.names)
+    if raw is None:
+        return pa.RecordBatch.from_arrays(arrays, names=_ROW.names)
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(raw, pa.binary())], names=_ROW_RAW.names)
 
 
-def _combined(akey, ckey, doc, loc) -> pa.RecordBatch:
+def _combined(akey, ckey, doc, loc, raw=None) -> pa.RecordBatch:
     """The rows of a batch, in which a context that the batch has earlier counts as settled.
 
     What is settled here needs no meeting with its key any more, so its key becomes its own place:
-    a key sends one open row a batch, however frequent it is.
+    a key sends one open row a batch, however frequent it is.  Bytes, where there are any (raw of a
+    row's number), go with open rows only.
     """
     akey, ckey = akey.view(np.int64), ckey.view(np.int64)
     order = np.lexsort((loc, doc, ckey, akey))
@@ -129,7 +152,9 @@ def _combined(akey, ckey, doc, loc) -> pa.RecordBatch:
     spread = _mixed((doc * 1_000_003 + loc).view(np.uint64)).view(np.int64)
     akey = np.where(repeat, spread, akey)
     loc = np.where(repeat, loc | REPEAT, loc)
-    return _batch(akey[keep], ckey[keep], doc[keep], loc[keep])
+    if raw is not None:
+        raw = [None if again else raw(i) for i, again in zip(order[keep].tolist(), repeat[keep].tolist())]
+    return _batch(akey[keep], ckey[keep], doc[keep], loc[keep], raw)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,40 +196,43 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of anchor, context and place: the repeats, and the rims.
+    """From rows in order of anchor, context and place: the repeats, and the rims, with their bytes if the rows have any.
 
     Streams: it holds a batch, the first row of the current context, and the last first row.
     """
-    held = None  # first row of the current context: akey, ckey, doc, loc, whether the anchor has others
+    held = None  # first row of the current context, and whether the anchor has others
     for batch in batches:
         akey, ckey, doc, loc = (batch.column(i).to_numpy() for i in range(4))
+        raw = np.array(batch.column(4).to_pylist(), dtype=object) if batch.num_columns > 4 else None
+        none = None if raw is None else np.full(len(akey), None, dtype=object)
         done = (loc & 3) == REPEAT
         if done.any():
-            yield _batch(akey[done], ckey[done], doc[done], loc[done])
+            yield _batch(akey[done], ckey[done], doc[done], loc[done], None if raw is None else none[done])
             akey, ckey, doc, loc = (x[~done] for x in (akey, ckey, doc, loc))
+            raw = None if raw is None else raw[~done]
         if not len(akey):
             continue
+        shared = False
         if held is not None:
             akey, ckey, doc, loc = (np.concatenate([[h], x]) for h, x in zip(held, (akey, ckey, doc, loc)))
             shared = held[4]
-        else:
-            shared = False
+            raw = None if raw is None else np.concatenate([held[5], raw])
         new = np.concatenate([[True], (akey[1:] != akey[:-1]) | (ckey[1:] != ckey[:-1])])
         heads = np.flatnonzero(new)
         first = heads[np.cumsum(new) - 1]
         again = ~new & ((doc != doc[first]) | (loc >> 9 != loc[first] >> 9))
         if again.any():
-            yield _batch(akey[again], ckey[again], doc[again], loc[again] | REPEAT)
+            yield _batch(akey[again], ckey[again], doc[again], loc[again] | REPEAT, None if raw is None else np.full(again.sum(), None, dtype=object))
         with_last = np.concatenate([[shared], akey[heads][1:] == akey[heads][:-1]])
         with_next = np.append(akey[heads][1:] == akey[heads][:-1], False)
         rim = (with_last | with_next)[:-1]
         out = heads[:-1][rim]
         if len(out):
-            yield _batch(akey[out], ckey[out], doc[out], loc[out] | RIM)
+            yield _batch(akey[out], ckey[out], doc[out], loc[out] | RIM, None if raw is None else raw[out])
         k = heads[-1]
-        held = (akey[k], ckey[k], doc[k], loc[k], bool(with_last[-1]))
+        held = (akey[k], ckey[k], doc[k], loc[k], bool(with_last[-1]), None if raw is None else raw[k : k + 1])
     if held is not None and held[4]:
-        yield _batch(*(np.array([x]) for x in held[:3]), np.array([held[3] | RIM]))
+        yield _batch(*(np.array([x]) for x in held[:3]), np.array([held[3] | RIM]), held[5])
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -352,17 +380,26 @@ def _rim_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(akeys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(raws, pa.binary())], names=_RIM.names)
 
 
-def _rim_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the rims of very frequent anchors, as a context of its own."""
-    for batch in batches:
-        rows = []
-        for doc, place, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            roll = Rolling(np.frombuffer(raw, dtype=np.uint8))
-            whole = roll.of(LENGTH)
-            at = np.arange(len(whole)) + place
-            rows.append((_mixed(whole), _mixed(whole ^ np.uint64(_MUL)), np.full(len(whole), doc), _loc(at, np.ones(len(whole)), OPEN)))
-        if rows:
-            yield _combined(*(np.concatenate(x) for x in zip(*rows)))
+def _split(width: int):
+    """Rims (anchor, doc, place, bytes) cut into classes of `width` places, each with its core as its anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, place = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            raws = batch.column(3).to_pylist()
+            ends = np.cumsum([len(x) for x in raws])
+            core, ckey, first, count = contexts(np.frombuffer(b"".join(raws), dtype=np.uint8), ends, width=width)
+            if not len(core):
+                continue
+            own = np.searchsorted(ends, first, side="right")
+            inner = first - np.concatenate([[0], ends[:-1]])[own]
+
+            def raw(i: int) -> bytes:
+                return raws[own[i]][inner[i] : inner[i] + count[i] + LENGTH - 1]
+
+            yield _combined(core, ckey, doc[own], _loc(place[own] + inner, count, OPEN), raw)
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,19 +441,30 @@ def remove_repeats(
     scratch = Scratch(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = ("akey", "ckey", "doc", "loc")
+    kind = F.col("loc").bitwiseAND(F.lit(3))
     rows = base.mapInArrow(_anchors, _ROW).repartition("akey").sortWithinPartitions(*order)
     settled = scratch.write(rows.mapInArrow(_settle, _ROW))
-    kind = F.col("loc").bitwiseAND(F.lit(3))
-    rims = settled.filter(kind == RIM)
-    hot = rims.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_contexts).select("akey", F.lit(True).alias("hot"))
-    lists = rims.groupBy("doc").agg(F.collect_list(F.struct("akey", "loc")).alias("rims"))
-    texts = base.join(lists, base.id == lists.doc).select("id", "text", "rims")
-    raw = scratch.write(texts.mapInArrow(_rim_bytes, _RIM).join(hot, "akey", "left"))
-    few = raw.filter("hot IS NULL").drop("hot").repartition("akey").sortWithinPartitions("akey", "doc", "place")
-    many = raw.filter("hot").drop("hot").mapInArrow(_rim_windows, _ROW).repartition("akey").sortWithinPartitions(*order)
     marks = settled.filter(kind == REPEAT).select("doc", "loc")
-    marks = marks.union(few.mapInArrow(_sorted_rims, _ROW).select("doc", "loc"))
-    marks = marks.union(many.mapInArrow(_settle, _ROW).filter(kind == REPEAT).select("doc", "loc"))
+    lists = settled.filter(kind == RIM).groupBy("doc").agg(F.collect_list(F.struct("akey", "loc")).alias("rims"))
+    texts = base.join(lists, base.id == lists.doc).select("id", "text", "rims")
+    rims = scratch.write(texts.mapInArrow(_rim_bytes, _RIM))
+    width = LENGTH - ANCHOR + 1
+    while True:
+        hot = scratch.write(rims.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_contexts).select("akey"))
+        # windows of one place and core are equal, so none is left to split
+        some = width > 1 and not hot.isEmpty()
+        few = rims.join(hot, "akey", "left_anti") if some else rims
+        size = few.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+        few = few.repartition(min(size // TASK_BYTES + 1, MOST_TASKS), "akey").sortWithinPartitions("akey", "doc", "place")
+        marks = marks.union(few.mapInArrow(_sorted_rims, _ROW).select("doc", "loc"))
+        if not some:
+            break
+        width = (width + 1) // 2
+        parts = rims.join(hot, "akey", "left_semi").mapInArrow(_split(width), _ROW_RAW)
+        parts = scratch.write(parts.repartition("akey").sortWithinPartitions(*order).mapInArrow(_settle, _ROW_RAW))
+        marks = marks.union(parts.filter(kind == REPEAT).select("doc", "loc"))
+        place = F.shiftright("loc", 9).alias("place")
+        rims = parts.filter(kind == RIM).select("akey", "doc", place, "raw")
     marks = marks.groupBy("doc").agg(F.collect_list("loc").alias("marks"))
     out = base.join(marks, base.id == marks.doc, "left").select("id", "text", "marks")
     schema = T.StructType(

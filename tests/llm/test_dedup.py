@@ -145,6 +145,34 @@ def test_suffix_repeats_of_frequent_anchors(spark, docs_of):
     suffix_case(spark, docs_of, passages(), most_contexts=2)
 
 
+def test_suffix_repeats_of_one_anchor(spark, docs_of):
+    gen = random.Random(8)
+    word = lambda n: "".join(gen.choice("abcdefghij ") for _ in range(n))
+    core, sides = word(40), [word(60) for _ in range(6)]
+    rows = [(i, word(20) + gen.choice(sides)[gen.randint(0, 30) :] + core + gen.choice(sides)[: gen.randint(5, 60)] + word(9)) for i in range(150)]
+    rows += [(200 + i, word(70) + core + word(70)) for i in range(60)]
+    for most in (1, 20, 4096):
+        suffix_case(spark, docs_of, rows, most_contexts=most)
+
+
+def test_classes_of_windows():
+    gen = random.Random(9)
+    texts = [t.encode() for _, t in passages() if t] + [bytes(gen.choices(b"ab", k=400))]
+    data, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
+    windows = {at - 100 for e, t in zip(ends, texts) for at in range(e - len(t) + 100, e + 1)}
+    for width in (69, 35, 18, 9, 5, 3, 2, 1):
+        core, _, first, count = suffix_dedup.contexts(data, ends, width=width)
+        places = [f + i for f, n in zip(first, count) for i in range(n)]
+        assert len(places) == len(windows) and set(places) == windows
+        of, contents = {}, {}
+        for c, f, n in zip(core.tolist(), first.tolist(), count.tolist()):
+            for at in range(f, f + n):
+                raw = data[at : at + 100].tobytes()
+                assert of.setdefault(raw, c) == c
+                contents.setdefault(c, set()).add(raw)
+    assert all(len(x) == 1 for x in contents.values())
+
+
 def test_suffix_segments(spark, docs_of, monkeypatch):
     data = [t.encode() for _, t in passages() if t]
     for piece in (1 << 22, 300):
