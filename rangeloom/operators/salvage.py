@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -77,11 +77,14 @@ def response_content(df: DataFrame, body: str = "body", status: str = "status")
 
 
 def joined_chunks(chunks: DataFrame, key: str = "plan_id", seq: str = "seq", text: str = "chunk", most: int = 1_000_000) -> DataFrame:
-    """(key, text, error): chunks in order, as far as the one that takes the text over `most` characters."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq), F.col(text).alias("t"))))
+    """(key, text, error): chunks in order, as far as the one that takes the text over `most` characters.
 
-    def more(acc: Column, chunk: Column) -> Column:
-        return F.when(F.length(acc) > most, acc).otherwise(F.concat(acc, F.coalesce(chunk["t"], F.lit(""))))
-
-    out = chunks.groupBy(key).agg(ordered.alias("__c")).select(key, F.aggregate("__c", F.lit(""), more).alias("text"))
+    Null and empty chunks add nothing.  Lengths run over the chunks before any is collected, so that
+    a key's text is bounded by `most` and its last chunk.
+    """
+    order = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    rows = chunks.select(key, seq, F.col(text).alias("__t"), size.alias("__n"), F.coalesce(F.sum(size).over(order), F.lit(0)).alias("__before"))
+    part = F.when((F.col("__before") <= most) & (F.col("__n") > 0), F.struct(F.col(seq), F.col("__t")))
+    out = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda c: c["__t"]), "").alias("text"))
     return out.withColumn("error", F.when(trim(F.col("text")) == "", F.lit("empty response")))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import diff, nodes, rank, ranges, salvage
-from .plans import local, validation
-
+from .plans import local, shown, validation
+from .sources import readers
+from .schema import Options
 from .streaming import playback
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -518,6 +519,32 @@ def prompt_files(spark, sf):
     return validation.prompt_files(_context(spark, sf)[0])
 
 
+#: Half the files fit: blocks are taken in order of place as long as each keeps the sum at 900 characters or less.
+_SMALL = 900
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}, y AS (SELECT diff_id, path, row_number() OVER (PARTITION BY diff_id ORDER BY changed DESC, file_seq) AS i, '### ' || path || ' (' || status || ')' || chr(10) || CASE WHEN changed_lines <> '' THEN 'Changed lines: ' || changed_lines || chr(10) ELSE '' END
+  || chr(10) || '```' || chr(10) || snippet || chr(10) || '```' || chr(10) || CASE WHEN symbols <> '' THEN chr(10) || 'AST symbols:' || chr(10) || symbols || chr(10) ELSE '' END AS block FROM x),
+t AS (SELECT diff_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS total, '' AS text, '' AS omitted FROM y GROUP BY diff_id
+  UNION ALL SELECT t.diff_id, y.i, CASE WHEN total + length(block) <= {_SMALL} THEN total + length(block) ELSE total END,
+  CASE WHEN total + length(block) > {_SMALL} THEN text WHEN total = 0 THEN block ELSE text || chr(10) || block END, CASE WHEN total + length(block) <= {_SMALL} THEN omitted ELSE omitted || path || ' ' END FROM t JOIN y ON y.diff_id = t.diff_id AND y.i = t.i + 1)
+SELECT diff_id, md5(arg_max(text, i)) AS text_md5, trim(arg_max(omitted, i)) AS omitted FROM t GROUP BY diff_id""")
+def prompt_texts(spark, sf):
+    texts = validation.prompt_texts(_context(spark, sf)[0], options=Options(max_prompt_chars=_SMALL))
+    return texts.select("diff_id", F.md5("text").alias("text_md5"), F.array_join("omitted", " ").alias("omitted"))
+
+
+@query("""SELECT o_orderkey, ['src/plain ' || o_orderkey, 'a/é ' || o_orderkey || chr(9) || '"x"', 'back\\' || o_orderkey || chr(10), 'b c/' || o_orderkey][o_orderkey % 4 + 1] AS path FROM orders""")
+def quoted_paths(spark, sf):
+    """Paths as git prints them: with a closing TAB, quoted with octal escapes, quoted with others, quoted without."""
+    n = F.col("o_orderkey").cast("string")
+    raw = F.element_at(
+        F.array(F.concat(F.lit("src/plain "), n, F.lit("\t")), F.concat(F.lit(r'"a/\303\251 '), n, F.lit(r'\t\"x\""')), F.concat(F.lit(r'"back\\'), n, F.lit(r'\n"')), F.concat(F.lit('"b c/'), n, F.lit('"'))),
+        (F.col("o_orderkey") % 4 + 1).cast("int"),
+    )
+    return _read(spark, sf, "orders").select("o_orderkey", diff.decode_path(raw).alias("path"))
+
+
 @query(f"""WITH {_NODES}, {_DIFFS}, r AS (SELECT l.file_id, max(l.line_no) AS n FROM l GROUP BY l.file_id),
 q AS (SELECT r.file_id, n, scope_name, least(coalesce(a, 2), 2) AS "start", least(n, greatest(coalesce(z, 3), 3)) AS "end" FROM r LEFT JOIN scoped ON scoped.file_id = r.file_id AND scoped.line_no = 2),
 sn AS (SELECT q.file_id, string_agg(lpad(CAST(line_no AS VARCHAR), CAST(length(CAST("end" AS VARCHAR)) AS INT), ' ') || '│ ' || line, chr(10) ORDER BY line_no) AS snippet FROM q JOIN src ON src.file_id = q.file_id AND line_no BETWEEN "start" AND "end" GROUP BY q.file_id),
@@ -571,9 +598,67 @@ def untracked_files(spark, sf):
     return diff.untracked(files).select("path", "status", F.col("hunks")[0]["new_count"].alias("n_lines"))
 
 
+# What is shown.
+
+
+@query("""WITH s AS (SELECT l_orderkey AS plan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS q, l_partkey AS p, l_suppkey AS u, l_returnflag AS r FROM lineitem)
+SELECT plan_id, q AS step_seq, q = plan_id % 3 AS is_current, (q + 1) || '. T' || p AS label, 'b/' || p || '.rs' AS short_path,
+  concat_ws(chr(10), CASE WHEN p % 3 <> 0 THEN 'v' || u || ' (init)' || CASE WHEN p % 2 = 0 OR u % 2 = 0 THEN ': ' || CASE WHEN p % 2 = 0 THEN 'old' ELSE '?' END || ' → ' || CASE WHEN u % 2 = 0 THEN 'new' ELSE '?' END ELSE '' END END,
+  CASE WHEN r = 'R' THEN '⚠ note' END, CASE WHEN r <> 'N' THEN 'why ' || u END) AS detail FROM s""")
+def browser_rows(spark, sf):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    p, u = F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda before, c, after="": F.concat(F.lit(before), c.cast("string"), F.lit(after))
+    variable = F.when(p % 3 != 0, F.struct(text("v", u).alias("name"), F.lit("init").alias("action"), F.when(p % 2 == 0, "old").alias("state_before"), F.when(u % 2 == 0, "new").alias("state_after")))
+    steps = _read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("plan_id"), (F.row_number().over(order) - 1).cast("long").alias("step_seq"), (F.col("l_orderkey") % 3).alias("current"), text("T", p).alias("title"), text("a/b/", p, ".rs").alias("file_path"),
+        variable.alias("variable"), F.when(F.col("l_returnflag") != "N", text("why ", u)).otherwise(F.lit("")).alias("explanation"), F.when(F.col("l_returnflag") == "R", "note").alias("security_note"),
+    )
+    return shown.browser_rows(steps)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 5) || '/4' END AS counter, CASE WHEN c_custkey % 5 > 0 THEN '**' || replace(c_name, '#', '\\#') || ' \\***' || chr(10) || chr(10) || 'Entry: `' || chr(39) || c_mktsegment || '`' END AS tooltip FROM customer""")
+def status_lines(spark, sf):
+    c = _read(spark, sf, "customer")
+    states = c.select("c_custkey", (F.col("c_custkey") % 5 - 1).alias("current"), F.lit(4).alias("total_steps"), F.concat("c_name", F.lit("\n*")).alias("summary"), F.concat(F.lit("`"), "c_mktsegment").alias("entry_point"))
+    return shown.status_line(states).select("c_custkey", "counter", "tooltip")
+
+
+@query("""SELECT o_orderkey, (o_orderkey % 13) || ' steps in ' || (o_orderkey % 1000 // 10) || '.' || (o_orderkey % 10) || ' s' || CASE WHEN o_orderkey % 20 > 12 THEN ', covering 12 of ' || (o_orderkey % 20) || ' changed files' ELSE '' END AS message FROM orders""")
+def coverage_notes(spark, sf):
+    k = F.col("o_orderkey")
+    plans = _read(spark, sf, "orders").select("o_orderkey", (k % 13).alias("total_steps"), (k % 20).alias("total_files"), (k % 1000 * 100).alias("elapsed_ms"))
+    return shown.coverage_note(plans).select("o_orderkey", "message")
+
+
+@query("""SELECT c_custkey, '{"model":"' || c_mktsegment || '","messages":[{"role":"system","content":"be \\"brief\\""},{"role":"user","content":"' || c_name || '\\n"}],"max_tokens":' || (c_custkey % 100) || ',"temperature":0.2}' AS body FROM customer""")
+def request_bodies(spark, sf):
+    rows = _read(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("model_id"), F.lit('be "brief"').alias("system"), F.concat("c_name", F.lit("\n")).alias("user"), (F.col("c_custkey") % 100).alias("max_tokens"), F.lit(0.2).alias("temperature"))
+    return readers.request_body(rows).select("c_custkey", "body")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a b ' || c_mktsegment WHEN 1 THEN 'b' WHEN 2 THEN 'a b' ELSE 'a ' || c_mktsegment END AS origins FROM customer""")
+def origin_lists(spark, sf):
+    """A new origin comes in, one goes, a known one comes again, or one goes as another comes in."""
+    k, new = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    added = F.when(k.isin(0, 3), new).when(k == 2, "b")
+    removed = F.when(k == 1, "a").when(k == 3, "b")
+    both = rank.origins_after(F.array(F.lit("a"), F.lit("b")), added, removed)
+    return _read(spark, sf, "customer").select("c_custkey", F.array_join(both, " ").alias("origins"))
+
+
 # JSON.
 
 
+@query("""WITH e AS (SELECT user_id AS plan_id, event_id, CASE WHEN user_id % 10 = 0 THEN ' ' WHEN event_id % 7 <> 0 THEN event_type ELSE '' END AS t FROM events),
+b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY plan_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT plan_id, coalesce(string_agg(t, '' ORDER BY event_id) FILTER (WHERE before <= 40), '') AS text, CASE WHEN plan_id % 10 = 0 THEN 'empty response' END AS error FROM b GROUP BY plan_id""")
+def chunk_texts(spark, sf):
+    """A session's event types as chunks; every seventh is null, and every tenth session has blanks alone."""
+    t = F.when(F.col("user_id") % 10 == 0, F.lit(" ")).when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    return salvage.joined_chunks(_read(spark, sf, "events").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("seq"), t.alias("chunk")), most=40)
+
+
 def raw_plans(spark: SparkSession, sf: str) -> DataFrame:
     """(plan_id, text): a plan of two steps for each order, loose in ways that its key decides."""
     k = F.col("o_orderkey")

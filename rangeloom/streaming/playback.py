@@ -5,36 +5,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def moved(state: Column, steps: Column, event: Column, target: Column) -> Column:
-    """The step after an event: start, next, prev, jump, tick (next, from autoplay) or exit.
+#: A number above any step: a move that nothing holds back.
+_FAR = 1 << 40
+
+
+def _move(idle: Column, shift: Column, low: Column, high: Column) -> Column:
+    """A function of the state: `idle` if nothing plays, else the state and `shift`, held from `low` to `high`."""
+    return F.struct(idle.cast("long").alias("idle"), shift.cast("long").alias("shift"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+
+def _joined(moves: str) -> Column:
+    """An array of structs with a move m as one move.  A move that leaves a single state, as start does, has low = high."""
+    after = lambda state: f"if({state} < 0, x.m.idle, least(greatest({state} + x.m.shift, x.m.low), x.m.high))"
+    still = f"named_struct('idle', -1L, 'shift', 0L, 'low', 0L, 'high', {_FAR}L)"
+    return F.expr(
+        f"aggregate({moves}, {still}, (a, x) -> named_struct('idle', {after('a.idle')}, 'shift', a.shift + x.m.shift, 'low', {after('a.low')}, 'high', {after('a.high')}))"
+    )
+
+
+def _move_of(steps: Column, event: Column, target: Column) -> Column:
+    """An event as a move: start, next, prev, jump, tick (next, from autoplay) or exit; others change nothing.
 
     -1 means that nothing plays; then only start counts.  Moves are held inside the plan, and a plan
     without steps doesn't start.
     """
-    hold = lambda i: F.least(F.greatest(i, F.lit(0)), steps - 1)
+    last = F.coalesce(steps - 1, F.lit(_FAR))
+    set_to = lambda idle, at: _move(idle, F.lit(0), at, at)
+    none, far = F.lit(-1), F.lit(_FAR)
     return (
-        F.when(steps <= 0, F.lit(-1))
-        .when(event == "start", F.lit(0))
-        .when(state < 0, F.lit(-1))
-        .when(event == "exit", F.lit(-1))
-        .when(event.isin("next", "tick"), hold(state + 1))
-        .when(event == "prev", hold(state - 1))
-        .when(event == "jump", hold(target))
-        .otherwise(state)
-    ).cast("int")
+        F.when(steps <= 0, set_to(none, none))
+        .when(event == "start", set_to(F.lit(0), F.lit(0)))
+        .when(event == "exit", set_to(none, none))
+        .when(event.isin("next", "tick"), _move(none, F.lit(1), F.lit(0), last))
+        .when(event == "prev", _move(none, F.lit(-1), F.lit(0), last))
+        .when(event == "jump", set_to(none, F.least(F.greatest(target, F.lit(0)), last)))
+        .otherwise(_move(none, F.lit(0), F.lit(0), far))
+    )
+
 
+def replayed(events: DataFrame, session: str = "session_id", seconds: int = 3600) -> DataFrame:
+    """(session, state, n_events) after all events (session, ts, seq, event, target, steps) in order of ts and seq.
 
-def replayed(events: DataFrame, session: str = "session_id") -> DataFrame:
-    """(session, state, n_events) after all events (session, ts, seq, event, target, steps) in order of ts and seq."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "event", "target", "steps")))
-    state = F.aggregate("e", F.lit(-1), lambda s, x: moved(s, x["steps"], x["event"], F.coalesce(x["target"], F.lit(0))))
-    rows = events.groupBy(session).agg(ordered.alias("e"))
-    return rows.select(session, state.alias("state"), F.size("e").cast("long").alias("n_events"))
+    Moves are associative, so the events of each span of `seconds` become one move, and those of a
+    session are put together after: a task holds a span of a session, never a whole one.
+    """
+    span = F.floor(F.col("ts").cast("timestamp").cast("double") / seconds)
+    move = _move_of(F.col("steps"), F.col("event"), F.coalesce(F.col("target"), F.lit(0)))
+    rows = events.select(session, span.alias("span"), F.struct("ts", "seq", move.alias("m")).alias("e"))
+    spans = rows.groupBy(session, "span").agg(F.array_sort(F.collect_list("e")).alias("e")).select(session, "span", _joined("e").alias("m"), F.size("e").alias("n"))
+    whole = spans.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("span", "m"))).alias("e"), F.sum("n").alias("n_events"))
+    return whole.select(session, _joined("e")["idle"].cast("int").alias("state"), "n_events")
 
 
 def latest(events: DataFrame, session: str = "session_id") -> DataFrame:
@@ -93,13 +118,3 @@ def played(stream: DataFrame) -> DataFrame:
         Playback(), outputStructType="session_id bigint, state int, n_events bigint", outputMode="update", timeMode="none"
     )
 
-
-def steps_shown(states: DataFrame) -> DataFrame:
-    """states (state, steps) with `label`, what a status line shows: 'k/n', or nothing."""
-    label = F.when(F.col("state") >= 0, F.concat_ws("/", (F.col("state") + 1).cast("string"), F.col("steps").cast("string")))
-    return states.withColumn("label", label)
-
-
-def ordered_states(events: DataFrame, session: str = "session_id") -> DataFrame:
-    """Every event with its place in the session, from 0."""
-    return events.withColumn("place", F.row_number().over(Window.partitionBy(session).orderBy("ts", "seq")) - 1)

@@ -8,7 +8,10 @@ from rangeloom.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
-SOME = "merge_windows overlap_join_binned enclosing_scope snap_range capped_steps files_covered parse_diff_files fallback_nodes expand_to_block validated_steps playback_states coerce_range".split()
+SOME = (
+    "merge_windows overlap_join_binned enclosing_scope snap_range capped_steps files_covered parse_diff_files fallback_nodes expand_to_block validated_steps playback_states coerce_range "
+    "prompt_texts quoted_paths browser_rows status_lines coverage_notes request_bodies origin_lists chunk_texts"
+).split()
 
 
 @pytest.fixture(scope="module")

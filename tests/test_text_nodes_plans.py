@@ -1,6 +1,7 @@
 """Text functions, line rules, salvage, plans, ranking and playback."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,9 @@ def test_chunks(spark):
     df = spark.createDataFrame([(1, 1, "b"), (1, 0, "aaa"), (1, 2, "c"), (2, 0, " ")], "plan_id int, seq int, chunk string")
     got = {r.plan_id: (r.text, r.error) for r in salvage.joined_chunks(df, most=3).collect()}
     assert got == {1: ("aaab", None), 2: (" ", "empty response")}
+    df = spark.createDataFrame([(1, 0, None), (1, 1, "ab"), (1, 2, ""), (1, 3, "cd"), (1, 4, "e"), (2, 0, None)], df.schema)
+    got = {r.plan_id: (r.text, r.error) for r in salvage.joined_chunks(df, most=3).collect()}
+    assert got == {1: ("abcd", None), 2: ("", "empty response")}
 
 
 def test_validation(spark):
@@ -170,6 +174,46 @@ def test_playback(spark):
     assert playback.latest(df).first().event == "tick"
 
 
+def test_playback_over_spans(spark):
+    """Spans put together give what a plain fold gives, whatever the plan's length does meanwhile."""
+    gen = random.Random(3)
+    t = datetime.datetime(2024, 1, 1)
+    kinds = ["next"] * 6 + ["prev"] * 3 + ["tick", "start", "start", "jump", "exit", "other", None]
+    rows = [
+        (s, t + datetime.timedelta(minutes=gen.randrange(600)), i, gen.choice(kinds), gen.choice([None, -2, 1, 3, 99]), gen.choice([0, 3, 5, 5, 5, None]))
+        for s in range(40) for i in range(gen.randrange(1, 60))
+    ]
+    wanted = {}
+    for s, _, _, event, target, steps in sorted(rows, key=lambda r: r[:3]):
+        state, n = wanted.get(s, (-1, 0))
+        last = 10**9 if steps is None else steps - 1
+        if last < 0 or event == "exit":
+            state = -1
+        elif event == "start":
+            state = 0
+        elif state >= 0 and event in ("next", "tick", "prev", "jump"):
+            state = min(max((target or 0) if event == "jump" else state + (-1 if event == "prev" else 1), 0), last)
+        wanted[s] = (state, n + 1)
+    df = spark.createDataFrame(rows, "session_id long, ts timestamp, seq long, event string, target int, steps int")
+    for seconds in (60, 3600, 10**7):
+        assert {r.session_id: (r.state, r.n_events) for r in playback.replayed(df, seconds=seconds).collect()} == wanted
+    assert playback.replayed(df.limit(0)).count() == 0
+
+
+def test_options_bounded():
+    assert Options(max_steps=0, context_lines=99).bounded() == Options(max_steps=1, context_lines=60)
+    assert Options(max_steps=51, context_lines=-1).bounded() == Options(max_steps=50, context_lines=0)
+    assert Options().bounded() == Options()
+
+
+def test_prompt_texts(spark):
+    rows = [(1, 0, "a", "M", 5, "1", "x" * 50, ""), (1, 1, "b", None, 9, "", "y" * 400, "s"), (1, 2, "c", "A", 1, "2-3", "z", "")]
+    df = spark.createDataFrame(rows, "diff_id long, file_seq int, path string, status string, changed long, changed_lines string, snippet string, symbols string")
+    got = validation.prompt_texts(df, F.lit("c"), Options(max_prompt_chars=200)).first()
+    wanted = "### c (A)\nChanged lines: 2-3\n\n```\nz\n```\n" + "\n" + "### a (M)\nChanged lines: 1\n\n```\n" + "x" * 50 + "\n```\n"
+    assert (got.text, got.omitted) == (wanted, ["b"])
+
+
 def test_playback_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "session_id long, ts timestamp, seq long, event string, target int, steps int"
