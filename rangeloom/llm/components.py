@@ -25,7 +25,8 @@ def _large(edges: DataFrame) -> DataFrame:
     return both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v), u > v, with each u linked to its least v, and that to its others: the same components by fewer links."""
     known = _with_least(edges)
     moved = known.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(known.select("u", F.col("m").alias("v"))).distinct()
@@ -49,6 +50,6 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(mark)
         old = scratch.last
-        pairs = scratch.write(_small(_large(pairs)))
+        pairs = scratch.write(small_star(_large(pairs)))
         scratch.drop(old)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds; pass a larger most_rounds")
