@@ -50,6 +50,25 @@ def test_windows(spark, hunks, context, n, wanted):
     assert [(r.start, r.end) for r in got] == wanted
 
 
+def test_windows_of_equal_hunks(spark):
+    rows = [(f, start, start + f % 4) for f in range(60) for i in range(8) for start in [(f * 37 + i * i * 11) % 97 + 1] for _ in range(1 + i % 3)]
+    wanted = []
+    for f in range(60):
+        islands = []
+        for start, end in sorted({(max(1, a - 2), min(90, b + 2)) for g, a, b in rows if g == f}):
+            if start > end:
+                continue
+            if islands and start <= islands[-1][1] + 1:
+                islands[-1][1] = max(islands[-1][1], end)
+            else:
+                islands.append([start, end])
+        wanted += [(f, i, *island) for i, island in enumerate(islands)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "f int, start long, end long").repartition(7)
+        got = ranges.merge_windows(df, ["f"], F.lit(2), F.lit(90)).select("f", "win_seq", "start", "end")
+        assert sorted(map(tuple, got.collect())) == wanted
+
+
 BLOCK = ["fn outer() {", "    let a = 1;", "    if a {", "        call();", "    }", "}", "", "tail"]
 
 
